@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,14 +21,22 @@ LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+# Characters that are their own NFKC form and never combine: ASCII, Latin-1 letters,
+# dashes and quotes.
+_PLAIN = r"[\x00-\x7f\xc0-\xff\u2013\u2014\u2018\u2019\u201c\u201d]*"
+
+
 @F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, "NFKC")
+    # pyarrow's own utf8_normalize leaves composed forms decomposed.
+    return pa.array(
+        [None if s is None else unicodedata.normalize("NFKC", s) for s in text.to_pylist()],
+        pa.string())
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC form. ASCII text is its own NFKC form and never leaves the JVM."""
-    other = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+    """Unicode NFKC form. Plain text is its own NFKC form and never leaves the JVM."""
+    other = F.when(~text.rlike(f"^{_PLAIN}$"), text)
     return F.coalesce(_nfkc(other), text)
 
 

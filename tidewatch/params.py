@@ -42,8 +42,10 @@ class TextParams:
     top_keywords: int = 8
     n_representative: int = 3
     seed: int = 42
-    n_init: int = 10
-    max_iter: int = 100
+    # Seeded restarts per number of clusters. The k-means|| start oversamples and needs
+    # fewer of them than single random draws; each one reads the data max_iter times.
+    n_init: int = 3
+    max_iter: int = 40
     # None means Spark ML's own English list; the review filler is always added.
     stop_words: tuple[str, ...] | None = None
     extra_stop_words: tuple[str, ...] = REVIEW_STOP_WORDS
