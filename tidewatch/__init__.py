@@ -1 +1,9 @@
 """Review early-warning analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Batch functions travel to executors by value, so the package need not be installed
+# there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

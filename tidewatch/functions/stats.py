@@ -12,9 +12,8 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _NORMAL = NormalDist()
 _T_TABLE_SIZE = 128
@@ -72,21 +71,29 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def t_quantile(q: float, df: np.ndarray) -> np.ndarray:
-    """Quantile q > 0.5 of Student's t, by bisection on the tail probability."""
+    """Quantile q > 0.5 of Student's t.
+
+    Newton steps from the normal quantile: it lies below every t quantile, and the tail
+    is convex, so the steps rise towards the solution and cannot overshoot.
+    """
     df = np.atleast_1d(np.asarray(df, float))
-    tail = 2.0 * (1.0 - q)
-    low, high = np.zeros_like(df), np.ones_like(df)
-    for _ in range(200):
-        short = t_two_sided(high, df) > tail
-        if not short.any():
+    out = np.full(df.shape, np.nan)
+    ok = np.isfinite(df) & (df > 0)
+    if not ok.any():
+        return out
+    v, tail = df[ok], 2.0 * (1.0 - q)
+    log_scale = np.array([
+        math.lgamma((x + 1) / 2) - math.lgamma(x / 2) - 0.5 * math.log(x * math.pi)
+        for x in v])
+    t = np.full(v.shape, _NORMAL.inv_cdf(q))
+    for _ in range(100):
+        slope = 2.0 * np.exp(log_scale - (v + 1) / 2 * np.log1p(t * t / v))
+        step = (t_two_sided(t, v) - tail) / slope
+        t = t + step
+        if np.all(np.abs(step) <= 1e-14 * t):
             break
-        high = np.where(short, high * 2, high)
-    for _ in range(200):
-        mid = (low + high) / 2
-        above = t_two_sided(mid, df) > tail
-        low, high = np.where(above, mid, low), np.where(above, high, mid)
-    out = (low + high) / 2
-    return np.where(np.isfinite(df) & (df > 0), out, np.nan)
+    out[ok] = t
+    return out
 
 
 @lru_cache(maxsize=32)
@@ -117,33 +124,6 @@ def t_critical(df: str, alpha: float) -> str:
             f"THEN element_at(array({table}), CAST({df} AS INT)) ELSE {series} END)")
 
 
-@F.pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """P(|Z| > |z|)."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
-
-
-@F.pandas_udf(DoubleType())
-def normal_upper_doubled(z: pd.Series) -> pd.Series:
-    """min(1, 2 P(Z > z)), the two-sided p of a rank test's larger statistic."""
-    return z.map(lambda v: min(1.0, math.erfc(v / math.sqrt(2))), na_action="ignore")
-
-
-@F.pandas_udf(DoubleType())
-def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
-
-
-def t_critical_real(df: Column, alpha: float) -> Column:
-    """Two-sided critical value for fractional degrees of freedom."""
-
-    @F.pandas_udf(DoubleType())
-    def critical(v: pd.Series) -> pd.Series:
-        return pd.Series(t_quantile(1 - alpha / 2, v.to_numpy(float)))
-
-    return critical(df)
-
-
 def shapiro_p(sample: np.ndarray) -> float:
     """Shapiro-Wilk p-value by Royston's 1995 approximation (4 <= n <= 5000)."""
     x = np.sort(np.asarray(sample, float))
@@ -183,18 +163,41 @@ def shapiro_p(sample: np.ndarray) -> float:
     return 0.5 * math.erfc((score - mean) / spread / math.sqrt(2))
 
 
-@F.pandas_udf(DoubleType())
-def shapiro_of_counts(c1: pd.Series, c2: pd.Series, c3: pd.Series,
-                      c4: pd.Series, c5: pd.Series) -> pd.Series:
-    """Shapiro-Wilk p of a bounded rating histogram; NULL counts give NULL."""
-    table = pd.concat([c1, c2, c3, c4, c5], axis=1)
+def _normality(counts: pd.DataFrame) -> np.ndarray:
+    """Shapiro-Wilk p of bounded rating histograms; NaN where counts are missing."""
+    out = np.full(len(counts), np.nan)
+    for i, row in enumerate(counts.to_numpy(float)):
+        if not np.isnan(row).any():
+            n = row.astype(int)
+            out[i] = shapiro_p(np.repeat(np.arange(1, 6), n)) if (n > 0).sum() > 1 else 0.0
+    return out
+
 
-    def one(row) -> float | None:
-        if row.isna().any():
-            return None
-        counts = row.to_numpy(int)
-        if (counts > 0).sum() < 2:
-            return 0.0
-        return shapiro_p(np.repeat(np.arange(1, 6), counts))
+def _normal_tail(z: np.ndarray) -> np.ndarray:
+    """2 P(Z > z), at most 1."""
+    return np.array([min(1.0, math.erfc(v / math.sqrt(2))) for v in z])
+
+
+TAILS = ("normal1", "normal2", "p_t", "p_rank", "effect_tail", "t_value")
+
+
+def tails(alpha: float):
+    """Batch function with every probability an impact row needs, in one Python pass.
+
+    Its argument is a struct with the histograms c1..c5 and o1..o5 (NULL where normality
+    is not in question), t, dof, z and effect_z.
+    """
+
+    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in TAILS]))
+    def batch(x: pd.DataFrame) -> pd.DataFrame:
+        number = {c: x[c].to_numpy(float) for c in ("t", "dof", "z", "effect_z")}
+        return pd.DataFrame({
+            "normal1": _normality(x[[f"c{v}" for v in range(1, 6)]]),
+            "normal2": _normality(x[[f"o{v}" for v in range(1, 6)]]),
+            "p_t": t_two_sided(number["t"], number["dof"]),
+            "p_rank": _normal_tail(number["z"]),
+            "effect_tail": _normal_tail(np.abs(number["effect_z"])),
+            "t_value": t_quantile(1 - alpha / 2, number["dof"]),
+        })
 
-    return table.apply(one, axis=1).astype(float)
+    return batch

@@ -156,8 +156,8 @@ def rank_parts(df: DataFrame) -> DataFrame:
     return add(df, z=ratio("greatest(u1, pairs - u1) - pairs / 2 - 0.5D", "sigma"))
 
 
-def choose_test(df: DataFrame, params: ImpactParams = ImpactParams()) -> DataFrame:
-    """`test_used`, `test_reasoning` and `p_value` of the group comparison.
+def with_tails(df: DataFrame, params: ImpactParams = ImpactParams()) -> DataFrame:
+    """Add all tail probabilities and the t quantile, in one Python pass over the issues.
 
     Normality is tested only for groups of at most `normal_max_n` reviews: larger
     samples on five values are always rejected, and the bound keeps the test's input
@@ -165,20 +165,22 @@ def choose_test(df: DataFrame, params: ImpactParams = ImpactParams()) -> DataFra
     """
     p = params
     testable = f"least(n1, n2) >= {p.normal_min_n} AND greatest(n1, n2) <= {p.normal_max_n}"
+    inputs = {f"{c}{v}": f"CASE WHEN {testable} THEN {c}{v} END"
+              for c in "co" for v in RATINGS}
+    inputs |= {"t": ratio("diff", "se"), "dof": "CASE WHEN se > 0 THEN dof END", "z": "z",
+               "effect_z": ratio("effect", "effect_se")}
+    fields = ", ".join(f"'{n}', {e}" for n, e in inputs.items())
+    df = add(df, tail_inputs=f"named_struct({fields})")
+    df = df.withColumn("tails", stats.tails(p.alpha)(F.col("tail_inputs")))
+    # Missing probabilities come back as NaN.
+    return add(df, **{n: f"nanvl(tails.{n}, CAST(NULL AS DOUBLE))" for n in stats.TAILS})
 
-    def normality(prefix: str):
-        return stats.shapiro_of_counts(*[
-            F.expr(f"CASE WHEN {testable} THEN {prefix}{v} END") for v in RATINGS])
 
-    df = df.withColumns({"normal1": normality("c"), "normal2": normality("o")})
+def choose_test(df: DataFrame, params: ImpactParams = ImpactParams()) -> DataFrame:
+    """`test_used`, `test_reasoning` and `p_value` of the group comparison."""
+    p = params
     df = add(df, enough=f"least(n1, n2) >= {p.hard_floor}",
              normal=f"coalesce(normal1 > {p.alpha}D AND normal2 > {p.alpha}D, false)")
-    df = add(df, t_stat=f"CASE WHEN enough AND normal THEN {ratio('diff', 'se')} END",
-             rank_z="CASE WHEN enough AND NOT normal THEN z END")
-    df = df.withColumns({
-        "p_t": stats.t_two_sided_p(F.col("t_stat"), F.col("dof")),
-        "p_rank": stats.normal_upper_doubled(F.col("rank_z")),
-    })
     # A rank test without z has no spread: all ratings are equal.
     return add(
         df,
@@ -342,13 +344,7 @@ def compute_issue_impact(cleaned: DataFrame, assignments: DataFrame,
     p = params
     cells = cut_lineage(rating_cells(cleaned, assignments))
     df = regress(cells, group_stats(cells, p), p)
-    df = choose_test(rank_parts(welch_parts(df)), p)
-    df = add(df, effect_z=ratio("effect", "effect_se"),
-             real_dof="CASE WHEN se > 0 THEN dof END")
-    df = df.withColumns({
-        "effect_tail": stats.normal_two_sided(F.col("effect_z")),
-        "t_value": stats.t_critical_real(F.col("real_dof"), p.alpha),
-    })
+    df = choose_test(with_tails(rank_parts(welch_parts(df)), p), p)
     df = add(
         df,
         half="coalesce(t_value * se, se)",
