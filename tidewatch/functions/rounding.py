@@ -33,8 +33,9 @@ def round_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 def fixed(x: str, digits: int) -> str:
-    """Text of a non-negative number with a fixed number of decimals."""
-    return f"format_string('%.{digits}f', {round_exact(x, digits)})"
+    """Text of a non-negative number with a fixed number of decimals; NULL stays NULL."""
+    return (f"CASE WHEN {x} IS NOT NULL THEN "
+            f"format_string('%.{digits}f', {round_exact(x, digits)}) END")
 
 
 def _is_negative(x: str) -> str:
