@@ -15,7 +15,7 @@ from tidewatch.operators.risk import score_issues
 from tidewatch.operators.trends import build_issue_trends
 from tidewatch.params import Params
 from tidewatch.schemas import TABLES
-from tidewatch.sources.native import Source, stack_sources
+from tidewatch.sources.native import Source, read_native, stack_sources
 from tidewatch.sources.store import ReviewStore
 
 
@@ -34,8 +34,6 @@ def ingest(spark: SparkSession, sources: Iterable[Source],
     """Standard reviews of all sources; with a store the native records are kept too."""
     sources = list(sources)
     if store is not None:
-        from tidewatch.sources.native import read_native
-
         loaded = []
         for s in sources:
             native = s.native
