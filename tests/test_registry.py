@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.feature import StopWordsRemover
 
 import __spark_entry__ as entry_points
-from tidewatch.plans.oracle import english_stop_words
+from tidewatch.params import ENGLISH_STOP_WORDS
 
 FOLDER = "/root/testdata/sf0.001"
 # TIDEWATCH_ALL_QUERIES=1 compares every query.
@@ -49,7 +49,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_stop_words_are_sparks_own(spark):
-    assert english_stop_words() == StopWordsRemover.loadDefaultStopWords("english")
+    assert list(ENGLISH_STOP_WORDS) == StopWordsRemover.loadDefaultStopWords("english")
 
 
 def test_flagship(spark):

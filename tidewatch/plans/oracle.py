@@ -6,12 +6,6 @@ cross-joined grids), not from the Spark plans.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
 from tidewatch.functions.stats import normal_quantile, t_expansion_terms, t_table
 from tidewatch.operators.impact import NO_TEST, RANK_REASON
 from tidewatch.operators.labels import PROBLEM_WORDS
@@ -25,14 +19,6 @@ SPACE = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 
 
-def english_stop_words() -> list[str]:
-    """Spark ML's English list, read from the library's own resource file."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    with zipfile.ZipFile(glob.glob(jars)[0]) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/english.txt")
-    return text.decode("utf-8").split("\n")
-
-
 def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -523,7 +509,7 @@ PARTS["windows"] = (f"""
     ("cutoffs", "t_quantiles", "penalties"))
 
 _STOP = sorted({w.lower() for w in (
-    *english_stop_words(), *TEXT.extra_stop_words, *APP_NAME.lower().split())})
+    *TEXT.stop_words, *TEXT.extra_stop_words, *APP_NAME.lower().split())})
 PARTS["tokenized"] = (PARTS["tokenized"][0].replace("@STOP@", quoted(_STOP)), ("docs",))
 
 
