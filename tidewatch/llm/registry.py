@@ -3,21 +3,53 @@
 from __future__ import annotations
 
 from tidewatch.llm.common import read
+from tidewatch.llm.decontaminate import CONTAMINATION_SQL, contamination
+from tidewatch.llm.merkle import fingerprint_documents
 from tidewatch.llm.mixing import mix
+from tidewatch.llm.quality import quality
 from tidewatch.llm.sharding import shard_documents
+from tidewatch.llm.toxicity import classify
+from tidewatch.llm.urlrank import judge, rule_table
+
+
+def op1_quality(spark, folder):
+    return quality(read(spark, folder, "documents"), read(spark, folder, "labels")).drop("key")
 
 
 def op2_sharding(spark, folder):
     return shard_documents(read(spark, folder, "documents"))
 
 
+def op3_fingerprints(spark, folder):
+    return fingerprint_documents(read(spark, folder, "documents"))
+
+
 def op6_mixing(spark, folder):
     return mix(read(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark, folder):
+    return classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op8_url_filter(spark, folder):
+    return judge(read(spark, folder, "pages"), rule_table(spark))
+
+
+def op10_decontamination(spark, folder):
+    return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
+    "op3_fingerprints": op3_fingerprints,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": CONTAMINATION_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
