@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import cut_lineage, root_buckets
+from tidewatch.llm.common import cut_lineage, root_buckets, shuffle_parts
 
 BLOCK_WORDS = 32
 SHARD_BLOCKS = 1024
@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
         F.coalesce(F.least("cap", final["level"] * F.col("weight")), "cap").alias("target"))
 
 
-def stream_offsets(docs: DataFrame) -> DataFrame:
-    """Add `start`: words of the same source before this document, and `source_size`.
+def stream_offsets(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Add `start`: words of the same source before this document, its size and target.
 
     A source may hold a third of all documents, so its stream is ordered by a hash bucket
     and then inside the bucket. Buckets and rows in a bucket both grow with the square
@@ -62,11 +62,12 @@ def stream_offsets(docs: DataFrame) -> DataFrame:
     placed = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = Window.partitionBy("source")
-    firsts = sums.select(
-        F.col("source").alias("s"), F.col("bucket").alias("b"),
-        F.coalesce(F.sum("bucket_size").over(per_source.orderBy("bucket").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("first"),
-        F.sum("bucket_size").over(per_source).alias("source_size"))
+    earlier = F.sum("bucket_size").over(per_source.orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1))
+    firsts = (sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
+                          F.coalesce(earlier, F.lit(0)).alias("first"))
+              .join(targets.select(F.col("source").alias("t"), "source_size", "target"),
+                    F.col("s").eqNullSafe(F.col("t"))).drop("t"))
     inside = (Window.partitionBy("source", "bucket").orderBy("doc_id", "mark")
               .rowsBetween(Window.unboundedPreceding, -1))
     return (placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -107,6 +108,7 @@ def draws(targets: DataFrame, seed: int, block: int = BLOCK_WORDS,
     per_shard = (
         one.filter("shards > 0")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+        .repartition(shuffle_parts(targets.sparkSession), "shard")
         .withColumn("picked", F.expr(f"""
             transform(filter(sequence(0L, greatest(left, 1L) - 1), i -> i < left), i ->
               least(size(sources) - 1, size(filter(bounds, b -> b <=
@@ -165,23 +167,22 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK_WORDS,
     """
     sized = cut_lineage(docs.select("doc_id", "source", F.xxhash64("text").alias("mark"),
                                     word_count().alias("size")))
-    streams = stream_offsets(sized)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(source_targets(sizes, max_passes))
+    streams = cut_lineage(stream_offsets(sized, targets))
     slots = drawn_blocks(draws(targets, seed, block, shard_blocks, max_passes), seed)
-    times = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    pieces = document_blocks(streams, block)
-    taken = (
-        pieces.join(times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times"),
-                    F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-        .groupBy("source", "start", "doc_id", "mark", "size")
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-        .select("doc_id", "mark", "source", "size", "taken")
-        .unionByName(sized.filter("size = 0").select(
-            "doc_id", "mark", "source", "size", F.lit(0).cast("long").alias("taken"))))
-    per_source = targets.select(F.col("source").alias("s"), "source_size", "target")
-    return (taken.join(per_source, F.col("source").eqNullSafe(F.col("s")))
-            .select("doc_id", "mark", "source", "size", "source_size", "target", "taken"))
+    times = (slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+             .select(F.col("source").alias("s"), F.col("block").alias("b"), "times"))
+    row = ["doc_id", "mark", "source", "size", "source_size", "target"]
+    # As many blocks as the corpus has, so never a broadcast.
+    return (document_blocks(streams, block)
+            .join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s"))
+                  & (F.col("block") == F.col("b")), "left")
+            .groupBy("start", *row)
+            .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+            .select(*row, "taken")
+            .unionByName(streams.filter("size = 0").select(
+                *row, F.lit(0).cast("long").alias("taken"))))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
