@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tidewatch.llm.bagminhash import near_duplicates
 from tidewatch.llm.common import read
 from tidewatch.llm.decontaminate import CONTAMINATION_SQL, contamination
+from tidewatch.llm.fuzzylines import deduplicate_lines
 from tidewatch.llm.merkle import fingerprint_documents
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.quality import quality
 from tidewatch.llm.sharding import shard_documents
+from tidewatch.llm.suffixdedup import remove_repeats
 from tidewatch.llm.toxicity import classify
 from tidewatch.llm.urlrank import judge, rule_table
 
@@ -24,6 +27,14 @@ def op3_fingerprints(spark, folder):
     return fingerprint_documents(read(spark, folder, "documents"))
 
 
+def op4_repeats(spark, folder):
+    return remove_repeats(read(spark, folder, "documents"))
+
+
+def op5_lines(spark, folder):
+    return deduplicate_lines(read(spark, folder, "documents"))
+
+
 def op6_mixing(spark, folder):
     return mix(read(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +48,10 @@ def op8_url_filter(spark, folder):
     return judge(read(spark, folder, "pages"), rule_table(spark))
 
 
+def op9_near_duplicates(spark, folder):
+    return near_duplicates(read(spark, folder, "documents")).drop("key")
+
+
 def op10_decontamination(spark, folder):
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -45,9 +60,12 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_fingerprints": op3_fingerprints,
+    "op4_repeats": op4_repeats,
+    "op5_lines": op5_lines,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
