@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.lineage import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "read", "row_key", "shuffle_parts"]
-
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "read", "row_key", "shared_folder",
+           "shuffle_parts"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of the named columns; nulls and empty texts get different keys."""
     return F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())])
