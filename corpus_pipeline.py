@@ -1,22 +1,52 @@
-"""The corpus pipeline: each stage calls one operator of tidewatch.llm."""
+"""The corpus pipeline: each stage calls one operator of tidewatch.llm.
+
+Every stage works on all rows that its predecessor kept, which `run` writes as Parquet and
+reads again. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.llm.bagminhash import one_per_class
+from tidewatch.llm.common import read, shared_folder
+from tidewatch.llm.decontaminate import decontaminated
 from tidewatch.llm.mixing import mixed_documents
+from tidewatch.llm.quality import accepted_documents
 from tidewatch.llm.sharding import shard_documents
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model of trusted text accepts."""
+    return accepted_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return one_per_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and place of every document of the mix."""
     return shard_documents(docs)
 
 
 STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("mixing", mixing),
     ("sharding", sharding),
 ]
@@ -26,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Result of the last stage for documents; the tables between are in the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
