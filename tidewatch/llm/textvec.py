@@ -43,8 +43,8 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
         yield a, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word in order.
+def word_hashes(texts: list[bytes], stem: int | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, text number) of every word in order, and the hash of its first `stem` bytes.
 
     Words are runs of digits, a-z and all non-ASCII bytes after ASCII lower-casing.
     """
@@ -58,7 +58,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    return hashes, np.searchsorted(np.cumsum(lengths), starts, side="right")
+    doc = np.searchsorted(np.cumsum(lengths), starts, side="right")
+    if stem is None:
+        return hashes, doc
+    ends = np.minimum(ends, starts + stem)
+    return hashes, doc, mixed((sums[ends] - sums[starts]) * inverse[starts] - np.uint64(1))
 
 
 def as_bytes(column) -> list[bytes]:

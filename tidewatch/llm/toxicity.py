@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Features are the distinct words, neighbouring pairs and pairs with one word between them,
-hashed to `2**BITS` buckets. Each of `SHARDS` shards of the training rows runs FTRL over
+Features are the distinct words, stems (their first bytes), neighbouring pairs and pairs with
+one word between them, hashed to `2**BITS` buckets. Each of `SHARDS` shards of the training rows runs FTRL over
 its rows in a fixed order; after every round the shards' states are averaged per bucket
 and the next round starts from there. L1 leaves few weights, which are broadcast to score.
 """
@@ -21,14 +21,15 @@ BITS = 20
 # Bound on the labelled rows of a fit; beyond it a sample by hash of doc_id is taken.
 MAX_ROWS = 40_000
 SHARDS, ROUNDS = 4, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
+STEM = 6
 THRESHOLD = 0.3
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every feature occurrence."""
-    h, doc = textvec.word_hashes(texts)
-    out, docs = [h], [doc]
+    h, doc, stem = textvec.word_hashes(texts, STEM)
+    out, docs = [h, stem], [doc, doc]
     for gap, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         same = doc[gap:] == doc[:-gap]
         pair = h[:-gap] * np.uint64(factor) + h[gap:]
