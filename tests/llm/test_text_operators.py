@@ -1,0 +1,296 @@
+"""Decontamination, fingerprints, repeated substrings, lines and near duplicates."""
+
+import hashlib
+import os
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from fixtures import (classes, frame, jaccard, odd_rows, plain_rows, sentence, shingles,
+                      similar_pairs, words)
+from pyspark.sql import functions as F
+
+from tidewatch.llm import (bagminhash, candidates, components, decontaminate, fuzzylines, merkle,
+                           suffixdedup, textvec)
+
+FOLDER = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def items(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+# --- components ----------------------------------------------------------------------
+
+def test_components_of_chain_star_and_loops(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (3, 2)]
+    found = dict(map(tuple, components.connected_components(
+        spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {found[i] for i in range(31)} == {0}
+    assert {found[200 + i] for i in range(50)} == {100}
+    none = components.connected_components(spark.createDataFrame([], "a long, b long"))
+    assert none.count() == 0
+
+
+def test_bloom_has_every_value_and_few_others(spark):
+    rng = np.random.default_rng(0)
+    have, other = (rng.integers(-2**63, 2**63 - 1, 2000) for _ in range(2))
+    table = candidates.bloom(spark.createDataFrame([(int(x),) for x in have], "v long"), "v")
+    assert candidates.may_contain(table, have).all()
+    assert candidates.may_contain(table, other).mean() < 0.01
+
+
+# --- near duplicates -----------------------------------------------------------------
+
+def test_signature_agreement_estimates_weighted_jaccard():
+    a = {k: 1 + k % 7 for k in range(60)}
+    b = {k: 1 + (k * 3) % 7 for k in range(20, 90)}
+    true = jaccard(Counter(a), Counter(b))
+    size = 4000
+    hashes = [textvec.mixed(np.array(list(s), np.uint64)) for s in (a, b)]
+    doc = np.concatenate([np.full(len(h), i) for i, h in enumerate(hashes)])
+    weight = np.array([*a.values(), *b.values()])
+    _, signature = bagminhash.signatures(doc, np.concatenate(hashes), weight, 2, size)
+    assert abs((signature[0] == signature[1]).mean() - true) < 4 * (true * (1 - true) / size) ** 0.5
+
+
+def test_near_duplicates_match_brute_force(spark):
+    base = words(5, 150)
+    rows = plain_rows(20)
+    for k in range(12):  # a chain and a star of edits
+        changed = list(base)
+        changed[10 * k + 3] = f"new{k}"
+        rows.append((500 + k, " ".join(changed), "en", "s", 0))
+    rows += [(600, " ".join(base), "en", "s", 0), (601, " ".join(base).upper(), "en", "s", 0)]
+    sets = [shingles(r[1]) for r in rows]
+    expected = classes(len(rows), similar_pairs(sets, 0.8))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {r[0]: rows[e][0] for r, e in zip(rows, expected)}
+
+
+@needs_data
+def test_near_duplicates_of_documents(spark, documents):
+    rows = documents.orderBy("doc_id").select("doc_id", "text").collect()
+    expected = classes(len(rows), similar_pairs([shingles(r.text) for r in rows], 0.8))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(documents).collect()}
+    assert got == {r.doc_id: rows[e].doc_id for r, e in zip(rows, expected)}
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    got = bagminhash.near_duplicates(frame(spark, odd_rows())).collect()
+    assert len(got) == len(odd_rows())
+    of = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert of[103].class_id == of[104].class_id == of[105].class_id == 103
+    assert of[103].class_size == 5  # the null id and both rows of 105 belong to it
+    assert of[100].class_id == of[101].class_id == 100 and of[102].class_id == 102
+    kept = bagminhash.one_per_class(frame(spark, odd_rows())).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([100, 102, 103, 106, 107, 108, 109, 110])
+    assert bagminhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_a_bucket_costs_its_members_not_its_pairs(spark):
+    """Many near copies of one text: tested pairs stay far below all pairs."""
+    base = words(9, 200)
+    rows = []
+    for k in range(60):
+        changed = list(base)
+        changed[3 * k] = f"v{k}"
+        rows.append((k, " ".join(changed), "en", "s", 0))
+    got = bagminhash.near_duplicates(frame(spark, rows)).collect()
+    assert {r.class_id for r in got} == {0} and {r.class_size for r in got} == {60}
+
+
+# --- lines ---------------------------------------------------------------------------
+
+def lines_by_force(rows, threshold=0.8):
+    lines = [(d, i, s.strip()) for d, t in rows for i, s in enumerate((t or "").split("\n")) if s.strip()]
+    distinct = list(dict.fromkeys(s for _, _, s in lines))
+    sets = []
+    for s in distinct:
+        s = s.ljust(5, "\0")
+        sets.append(Counter({s[i:i + 5] for i in range(len(s) - 4)}))
+    root = dict(zip(distinct, classes(len(distinct), similar_pairs(sets, threshold))))
+    seen, removed = set(), {}
+    for d, i, s in lines:
+        if root[s] in seen:
+            removed.setdefault(d, []).append(i)
+        seen.add(root[s])
+    return removed
+
+
+@needs_data
+def test_lines_match_brute_force(spark, documents):
+    part = documents.filter("doc_id < 60")
+    rows = [(r.doc_id, r.text) for r in part.orderBy("doc_id").collect()]
+    got = {r.doc_id: r.removed for r in fuzzylines.deduplicate_lines(part).collect()}
+    assert {k: v for k, v in got.items() if v} == lines_by_force(rows)
+
+
+def test_lines_of_odd_rows(spark):
+    docs = frame(spark, odd_rows())
+    got = {r.doc_id: r for r in fuzzylines.deduplicate_lines(docs).collect() if r.doc_id is not None}
+    assert got[100].n_lines == got[101].n_lines == got[102].n_lines == 0
+    assert got[110].removed == [2] and got[110].n_lines == 3
+    assert got[103].removed == [] and got[104].removed == [0]
+    kept = fuzzylines.drop_lines(docs.filter("doc_id = 110"), fuzzylines.deduplicate_lines(
+        docs.filter("doc_id = 110"))).first()
+    assert kept.text == "line one here\n\nother line of text" and kept.key is None
+    assert fuzzylines.deduplicate_lines(frame(spark, [])).count() == 0
+
+
+# --- repeated substrings -------------------------------------------------------------
+
+def repeats_by_force(texts, length):
+    seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        cover = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                cover[i:i + length] = True
+        spans = int((cover & ~np.concatenate([[False], cover[:-1]])).sum()) if len(t) else 0
+        kept = np.frombuffer(t, np.uint8)[~cover].tobytes()
+        out.append((len(t), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_cover_is_perfect():
+    d = suffixdedup.DIFFERENCES
+    assert {(a - b) % suffixdedup.COVER for a in d for b in d} == set(range(suffixdedup.COVER))
+
+
+def check_repeats(df, rows):
+    expected = repeats_by_force([(t or "").encode() for _, t in rows], suffixdedup.LENGTH)
+    got = [tuple(r) for r in suffixdedup.remove_repeats(df).collect()]
+    assert Counter(got) == Counter((d, *e) for (d, _), e in zip(rows, expected))
+
+
+def test_repeats_at_every_shift_and_length(spark):
+    """Passages of 380 to 700 bytes at shifting places, inside one text and over several."""
+    passage = sentence(77, 250)
+    rows = []
+    for k in range(24):
+        cut = passage[k * 5:k * 5 + 380 + 13 * k]
+        rows.append((k, sentence(200 + k, 20 + k) + cut + sentence(300 + k, 25)))
+    rows.append((90, sentence(4, 9) + passage + sentence(5, 9) + passage[40:900]))
+    rows.append((91, "ab" * 900))
+    rows.append((92, "ü" * 399))
+    docs = frame(spark, [(d, t, "en", "s", 0) for d, t in rows])
+    check_repeats(docs, rows)
+
+
+@needs_data
+def test_repeats_of_documents(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    check_repeats(documents, rows)
+
+
+def test_repeats_of_odd_rows(spark):
+    check_repeats(frame(spark, odd_rows()), [(r[0], r[1]) for r in odd_rows()])
+    assert suffixdedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+# --- decontamination -----------------------------------------------------------------
+
+def contamination_by_force(text, all_items, n=10):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+                   "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    hit, found = set(), set()
+    for name, item in all_items:
+        iw = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+                        "".join(c.lower() if "A" <= c <= "Z" else c for c in item or ""))
+        m = min(n, len(iw))
+        for i in range(len(iw) - m + 1 if m else 0):
+            for j in range(len(w) - m + 1):
+                if w[j:j + m] == iw[i:i + m]:
+                    hit.update(range(j, j + m))
+                    found.add(str(name))
+    return len(w), len(hit), len(found), ",".join(sorted(found))
+
+
+@pytest.mark.parametrize("block", [50_000, 6])
+def test_contamination_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.matches, "__defaults__", (10, block))
+    texts = [" ".join(words(i, 14)) for i in range(8)] + ["The End", None, "", "w1 " * 12]
+    rows = plain_rows(10) + odd_rows() + [
+        (700, "x " + texts[2].upper() + " y", "en", "s", 0), (701, "the END.", "en", "s", 0),
+        (702, " ".join(words(3, 11)), "en", "s", 0), (703, "w1 " * 40, "en", "s", 0)]
+    rows = [r for r in rows if r[0] != 106]
+    got = decontaminate.contamination(frame(spark, rows), items(spark, texts)).collect()
+    expected = []
+    for r in rows:
+        n, hit, k, names = contamination_by_force(r[1], enumerate(texts))
+        expected.append((r[0], n, hit, k, hashlib.sha256(names.encode()).hexdigest(), hit > 0))
+    assert Counter(map(tuple, got)) == Counter(expected)
+
+
+def test_contamination_without_items_or_documents(spark):
+    got = decontaminate.contamination(frame(spark, plain_rows(3)), items(spark, []))
+    assert [r.n_hit for r in got.collect()] == [0, 0, 0]
+    assert decontaminate.contamination(frame(spark, []), items(spark, ["a b"])).count() == 0
+
+
+def test_decontaminated_keeps_clean_rows_whole(spark):
+    docs = frame(spark, odd_rows())
+    kept = decontaminate.decontaminated(docs, items(spark, [odd_rows()[3][1]]))
+    assert kept.schema == docs.schema
+    assert Counter(map(repr, kept.collect())) == Counter(
+        repr(r) for r in docs.collect() if r.doc_id in (100, 101, 102, 106, 107, 108, 109, 110)
+        or r.doc_id is None and r.text is None)
+
+
+# --- fingerprints --------------------------------------------------------------------
+
+def test_fingerprints_of_neighbours(spark):
+    rows = [(i * 37 % 1009, sentence(i, 10 + i % 30), "en", "s", 0) for i in range(1000)]
+    got = {r.doc_id: r for r in merkle.fingerprint_documents(frame(spark, rows)).collect()}
+    ordered = sorted(rows, reverse=True)
+    for k, r in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        cut = len(r[1]) // 3
+        edited = r[1][:len(r[1]) - cut] + after[:cut]
+        assert got[r[0]].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[r[0]].n_chars == len(r[1])
+        assert got[r[0]].near_edited > got[r[0]].near_next
+
+
+def test_fingerprints_of_odd_rows(spark):
+    got = merkle.fingerprint_documents(frame(spark, odd_rows())).collect()
+    assert len(got) == len(odd_rows())
+    prints = {}
+    for r in got:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        prints.setdefault(r.doc_id, r.fingerprint)
+    assert prints[103] == prints[104] and prints[103] != prints[105]
+    assert prints[100] == prints[101]
+    one = merkle.fingerprint_documents(frame(spark, [(1, "abcdef", "en", "s", 0)])).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1
+    assert merkle.fingerprint_documents(frame(spark, [])).count() == 0
+
+
+def test_changed_paragraphs_locate_an_edit(spark):
+    a = "first one.\nsecond one.\n\nthird one.\nfourth one."
+    got = spark.createDataFrame([(a, a.replace("third", "3rd"))], "a string, b string").select(
+        merkle.fingerprint("a").alias("a"), merkle.fingerprint("b").alias("b")).select(
+        merkle.changed_paragraphs("a", "b"), merkle.likeness("a", "b")).first()
+    assert got[0] == [2] and 0.5 < got[1] < 1
+
+
+@needs_data
+def test_contamination_matches_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    cursor = con.execute(decontaminate.CONTAMINATION_SQL)
+    names = [d[0] for d in cursor.description]
+    got = decontaminate.contamination(spark.read.parquet(f"{FOLDER}/documents.parquet"),
+                                      spark.read.parquet(f"{FOLDER}/benchmark.parquet"))
+    assert Counter(map(tuple, got.select(*map(F.col, names)).collect())) == Counter(cursor.fetchall())
