@@ -121,7 +121,7 @@ def repeated_windows(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def _report(doc_id, texts: list[bytes], covers: list) -> dict:
+def _report(ids, texts: list[bytes], covers: list) -> dict:
     """Result columns for texts with their removed bytes (masks, or None for none)."""
     removed, spans, kept = [], [], []
     for text, cover in zip(texts, covers):
@@ -131,7 +131,7 @@ def _report(doc_id, texts: list[bytes], covers: list) -> dict:
         removed.append(int(cover.sum()))
         spans.append(int((cover & ~np.concatenate([[False], cover[:-1]])).sum()))
         kept.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~cover].tobytes()).hexdigest())
-    return {"doc_id": doc_id, "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
+    return {"doc_id": ids, "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
             "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
             "kept_sha256": pa.array(kept, pa.string())}
 
@@ -166,7 +166,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups = max(1, docs.count() // GROUP_ROWS)
     shared = spark.sparkContext.broadcast(repeated_windows(docs))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    # Ids travel as text: pandas would turn integers with nulls into floats.
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    result = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def ties(batches):
         for batch, a, texts, some in _chunks(batches):
@@ -205,7 +207,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     settled = cut_lineage(stretches.join(first, "h").select(
         group, "key", "start", (F.col("start") + F.col("size")).alias("stop"),
         (F.struct("key", "start") != F.col("first")).alias("copy")))
-    texts = (rows.mapInArrow(split(True), f"doc_id {kind}, text string, key long")
+    texts = (rows.mapInArrow(split(True), "doc_id string, text string, key long")
              .select("*", group).repartition(parts, "group"))
 
     def open_suffixes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -269,4 +271,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     done = (texts.groupBy("group").cogroup(marks.groupBy("group")).applyInPandas(cut, result))
-    return done.unionByName(rows.select("doc_id", "text").mapInArrow(split(False), result))
+    return (done.unionByName(rows.select("doc_id", "text").mapInArrow(split(False), result))
+            .withColumn("doc_id", F.col("doc_id").cast(kind)))
