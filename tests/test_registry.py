@@ -8,16 +8,11 @@ from pyspark.ml.feature import StopWordsRemover
 
 import __spark_entry__ as entry_points
 from tidewatch.params import ENGLISH_STOP_WORDS
+from tidewatch.plans.oracle import ORACLE_SQL
+from tidewatch.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-# TIDEWATCH_ALL_QUERIES=1 compares every query.
-CORE = ("standardize_google_play", "standardize_app_store", "validate_flags",
-        "validated_reviews", "cleaned_features", "clean_text", "data_quality",
-        "issue_trends_daily", "issue_summary", "impact_hc3", "share_forecast",
-        "tokens", "vocabulary", "evidence_topk", "monthly_rating")
-ORACLES = entry_points.oracle_sql()
-NAMES = [n for n in entry_points.queries()
-         if n in ORACLES and (n in CORE or os.environ.get("TIDEWATCH_ALL_QUERIES"))]
+NAMES = sorted(ORACLE_SQL)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
@@ -33,9 +28,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, duck, name):
-    df = entry_points.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
-    cursor = duck.execute(ORACLES[name])
+    cursor = duck.execute(ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
@@ -45,7 +40,8 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_stop_words_are_sparks_own(spark):

@@ -41,15 +41,40 @@ def test_t_critical_column(spark):
 
 def test_shapiro_against_published_example():
     weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    assert shapiro_p(np.array(weights)) == pytest.approx(0.0067, abs=2e-4)
+    assert shapiro_p(weights, np.ones(11)) == pytest.approx(0.0067, abs=2e-4)
     scores = [NormalDist(3, 1).inv_cdf((i + 0.5) / 40) for i in range(40)]
-    assert shapiro_p(np.array(scores)) > 0.9
+    assert shapiro_p(scores, np.ones(40)) > 0.9
+
+
+def listed_shapiro_w(sample):
+    """W of a listed sample of more than five values, weight by weight."""
+    x, n = np.sort(sample), len(sample)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    norm, u = m @ m, n ** -0.5
+    # Royston's polynomials for the extreme weights.
+    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / norm**0.5], u)
+    second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / norm**0.5], u)
+    a = m / ((norm - 2 * m[-1]**2 - 2 * m[-2]**2) / (1 - 2 * last**2 - 2 * second**2)) ** 0.5
+    a[0], a[1], a[-2], a[-1] = -last, -second, second, last
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+@pytest.mark.parametrize("counts", [(3, 4, 6, 5, 2), (30, 60, 110, 70, 30), (61, 242, 383, 242, 72),
+                                    (700, 150, 80, 50, 20), (0, 4000, 900, 100, 0)])
+def test_shapiro_of_counts_is_that_of_the_list(counts):
+    w = listed_shapiro_w(np.repeat(np.arange(1.0, 6), counts))
+    log_n, gap = np.log(sum(counts)), np.log(1 - w)
+    mean = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n)
+    spread = np.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
+    expected = 1 - NormalDist().cdf((gap - mean) / spread)
+    assert shapiro_p(np.arange(1, 6), np.array(counts)) == pytest.approx(expected, rel=1e-3, abs=1e-9)
 
 
 @pytest.mark.parametrize("counts", [(240, 40, 10, 6, 4), (100, 80, 60, 40, 20),
                                     (60, 60, 60, 60, 60), (20, 60, 140, 60, 20)])
 def test_large_five_valued_samples_are_never_normal(counts):
-    assert shapiro_p(np.repeat([1, 2, 3, 4, 5], counts)) < 0.001
+    for scale in (1, 1000):
+        assert shapiro_p(np.arange(1, 6), np.array(counts) * scale) < 0.001
 
 
 def test_round_exact_agrees_with_python(spark):

@@ -130,28 +130,65 @@ def t_critical(df: str, alpha: float) -> str:
             f"THEN element_at(array({table}), CAST({df} AS INT)) ELSE {series} END)")
 
 
-def shapiro_p(sample: np.ndarray) -> float:
-    """Shapiro-Wilk p-value by Royston's 1995 approximation (4 <= n <= 5000)."""
-    x = np.sort(np.asarray(sample, float))
-    n = len(x)
-    m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    norm = float(m @ m)
+# Ranks at each end whose normal scores are taken one by one.
+_EXACT_RANKS = 64
+
+
+def _score_sums(n: int, lo: int, hi: int) -> tuple[float, float]:
+    """Sum and sum of squares of the normal scores of ranks lo..hi (1-based) of n.
+
+    The scores near both ends are summed one by one; between them the sum is the integral
+    of the quantile function and of its square, from half a rank below to half a rank
+    above, with the first correction term of the midpoint rule.
+    """
+    total = squares = 0.0
+    first, last = max(lo, _EXACT_RANKS + 1), min(hi, n - _EXACT_RANKS)
+    for i in [*range(lo, min(hi, first - 1) + 1), *range(max(lo, last + 1, first), hi + 1)]:
+        z = _NORMAL.inv_cdf((i - 0.375) / (n + 0.25))
+        total, squares = total + z, squares + z * z
+    if first <= last:
+        step = 1 / (n + 0.25)
+        a, b = (_NORMAL.inv_cdf((i - 0.375) * step) for i in (first - 0.5, last + 0.5))
+        fa, fb = _NORMAL.pdf(a), _NORMAL.pdf(b)
+        total += (fa - fb) / step - step / 24 * (1 / fb - 1 / fa)
+        squares += ((_NORMAL.cdf(b) - b * fb) - (_NORMAL.cdf(a) - a * fa)) / step
+        squares -= step / 24 * (2 * b / fb - 2 * a / fa)
+    return total, squares
+
+
+def shapiro_p(values: np.ndarray, counts: np.ndarray) -> float:
+    """Shapiro-Wilk p-value of a histogram by Royston's 1995 approximation, from 4 values on.
+
+    Only sums of the weights over runs of equal values are needed, so the cost depends on
+    the number of distinct values and not on the sample's size.
+    """
+    order = np.argsort(values)
+    values, counts = np.asarray(values, float)[order], np.asarray(counts)[order].astype(int)
+    values, counts = values[counts > 0], counts[counts > 0]
+    n = int(counts.sum())
+    ends = np.cumsum(counts)
+    sums = [_score_sums(n, e - c + 1, e) for c, e in zip(counts.tolist(), ends.tolist())]
+    norm = sum(q for _, q in sums)
+    top, next_top = (_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in (n, n - 1))
     u = 1 / math.sqrt(n)
-    weights = m / math.sqrt(norm)
     # Royston's polynomials for the extreme weights.
-    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, weights[-1]], u)
+    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157,
+                       top / math.sqrt(norm)], u)
+    extremes = {n: (top, last), 1: (-top, -last)}
     if n > 5:
-        second = np.polyval(
-            [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, weights[-2]], u)
-        phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a = m / math.sqrt(phi)
-        a[-2], a[1] = second, -second
+        second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981,
+                             next_top / math.sqrt(norm)], u)
+        phi = (norm - 2 * top**2 - 2 * next_top**2) / (1 - 2 * last**2 - 2 * second**2)
+        extremes |= {n - 1: (next_top, second), 2: (-next_top, -second)}
     else:
-        phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a = m / math.sqrt(phi)
-    a[-1], a[0] = last, -last
-    centred = x - x.mean()
-    w = float(a @ x) ** 2 / float(centred @ centred)
+        phi = (norm - 2 * top**2) / (1 - 2 * last**2)
+    product = 0.0
+    for value, (total, _), c, e in zip(values, sums, counts.tolist(), ends.tolist()):
+        inside = [x for rank, x in extremes.items() if e - c < rank <= e]
+        weight = (total - sum(m for m, _ in inside)) / math.sqrt(phi) + sum(a for _, a in inside)
+        product += weight * value
+    mean = float(values @ counts) / n
+    w = product**2 / float((values - mean) ** 2 @ counts)
     gap = math.log(max(1 - w, 1e-300))
     # Royston's normalizing transformation of 1 - W.
     if n <= 11:
@@ -175,7 +212,7 @@ def _normality(counts: pd.DataFrame) -> np.ndarray:
     for i, row in enumerate(counts.to_numpy(float)):
         if not np.isnan(row).any():
             n = row.astype(int)
-            out[i] = shapiro_p(np.repeat(np.arange(1, 6), n)) if (n > 0).sum() > 1 else 0.0
+            out[i] = shapiro_p(np.arange(1, 6), n) if (n > 0).sum() > 1 else 0.0
     return out
 
 

@@ -159,12 +159,10 @@ def rank_parts(df: DataFrame) -> DataFrame:
 def with_tails(df: DataFrame, params: ImpactParams = ImpactParams()) -> DataFrame:
     """Add all tail probabilities and the t quantile, in one Python pass over the issues.
 
-    Normality is tested only for groups of at most `normal_max_n` reviews: larger
-    samples on five values are always rejected, and the bound keeps the test's input
-    small.
+    Normality is tested from the five counts of a group, whatever its size.
     """
     p = params
-    testable = f"least(n1, n2) >= {p.normal_min_n} AND greatest(n1, n2) <= {p.normal_max_n}"
+    testable = f"least(n1, n2) >= {p.normal_min_n}"
     inputs = {f"{c}{v}": f"CASE WHEN {testable} THEN {c}{v} END"
               for c in "co" for v in RATINGS}
     inputs |= {"t": ratio("diff", "se"), "dof": "CASE WHEN se > 0 THEN dof END", "z": "z",

@@ -10,7 +10,6 @@ from tidewatch.params import TrendParams
 from tidewatch.schemas import TRENDS
 
 _TRUNC = {"W": "week", "D": None, "M": "month"}
-_STEP = {"W": "INTERVAL 7 DAYS", "D": "INTERVAL 1 DAY", "M": "INTERVAL 1 MONTH"}
 UNITS = {"W": "weeks", "D": "days", "M": "months"}
 
 
@@ -46,20 +45,17 @@ def issue_period_stats(cleaned: DataFrame, assignments: DataFrame,
         GROUP BY 1, 2""", assignments=assignments, cleaned=cleaned)
 
 
-def issue_grid(issue_periods: DataFrame, totals: DataFrame, freq: str = "W") -> DataFrame:
+def issue_grid(issue_periods: DataFrame, totals: DataFrame) -> DataFrame:
     """Every issue in every observed period.
 
-    Each issue unrolls the calendar between the first and the last observed period and
-    an equi-join with the totals keeps the observed ones, so periods without any review
-    are absent and no cross join is planned. The unrolled list is bounded by the
-    calendar, not by the data.
+    Each issue unrolls the list of observed periods and an equi-join adds their totals,
+    so periods without any review are absent, a stray far date adds one period only, and
+    no cross join is planned. The list has one entry per observed period.
     """
     return sql(
         f"""
         SELECT issue_id, date, total_reviews
-        FROM (SELECT issue_id, explode(sequence((SELECT min(date) FROM {{totals}}),
-                                                (SELECT max(date) FROM {{totals}}),
-                                                {_STEP[freq]})) AS date
+        FROM (SELECT issue_id, explode((SELECT collect_set(date) FROM {{totals}})) AS date
               FROM (SELECT DISTINCT issue_id FROM {{periods}}))
         JOIN {{totals}} USING (date)""", totals=totals, periods=issue_periods)
 
@@ -112,7 +108,7 @@ def build_issue_trends(cleaned: DataFrame, assignments: DataFrame,
                coalesce(mention_count, 0) / total_reviews AS issue_share,
                average_rating, negative_share
         FROM {cells} LEFT JOIN {stats} USING (issue_id, date)""",
-        cells=issue_grid(stats, totals, params.freq), stats=stats)
+        cells=issue_grid(stats, totals), stats=stats)
     return _series_metrics(grid, params).select(*TRENDS.fieldNames())
 
 

@@ -75,9 +75,6 @@ class TextParams:
     # Vocabularies up to this size are clustered as ML vectors (dense centres stay
     # small); larger ones are clustered as (review, term, weight) rows.
     max_vector_terms: int = 1 << 18
-    # App-name words up to this number are inlined in the token filter; more are
-    # removed with an anti join.
-    max_inline_words: int = 10_000
     # Number of slices a very frequent term is cut into in joins on the term.
     term_salts: int = 8
 
@@ -112,8 +109,6 @@ class ImpactParams:
     alpha: float = 0.05
     low_rating: int = 2
     normal_min_n: int = 20
-    # Groups above this size are never normal on a five-valued scale.
-    normal_max_n: int = 300
     min_regression_rows: int = 10
     # Issues whose regressions are evaluated together in one array.
     issue_chunk: int = 256

@@ -82,7 +82,9 @@ def google_play_native(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(user_id % 20 AS STRING) AS thumbsUpCount",
         "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '5.4.1' END AS reviewCreatedVersion",
         "'5.0' AS appVersion",
-        "if(event_id % 43 = 0, 'yesterday', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS at",
+        "CASE WHEN event_id % 43 = 0 THEN 'yesterday' WHEN event_id % 44 = 0 THEN "
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || '+02:00' "
+        "ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS at",
         f"event_id AS {SEQ}")
 
 
@@ -92,7 +94,10 @@ def app_store_native(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN event_id % 17 <> 0 THEN concat('user', user_id) END AS userName",
         "'' AS title", "concat_ws(' ', event_type, props) AS review",
         f"CAST({_RATING} AS STRING) AS rating",
-        "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS date", "'false' AS isEdited",
+        "CASE event_id % 7 WHEN 1 THEN date_format(ts, 'yyyy/MM/dd HH:mm:ss') "
+        "WHEN 2 THEN date_format(ts, 'MM/dd/yyyy') WHEN 3 THEN date_format(ts, 'MMM d, yyyy') "
+        "WHEN 4 THEN date_format(ts, 'yyyyMMdd') WHEN 5 THEN date_format(ts, 'yyyy-13-dd') "
+        "ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS date", "'false' AS isEdited",
         f"event_id AS {SEQ}")
 
 

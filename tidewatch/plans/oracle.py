@@ -547,7 +547,9 @@ _GOOGLE = f"""
     SELECT 'ev_' || event_id AS review_id, event_type || ' ' || props AS review_text,
       CASE WHEN event_id % 40 = 0 OR event_id % 41 = 0 THEN NULL
            WHEN event_id % 42 = 0 THEN 4 ELSE {_HEX} END AS rating,
-      CASE WHEN event_id % 43 <> 0 THEN date_trunc('second', ts) END AS review_date,
+      CASE WHEN event_id % 43 = 0 THEN NULL
+           WHEN event_id % 44 = 0 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+           ELSE date_trunc('second', ts) END AS review_date,
       'google_play' AS source_platform, '{APP_ID}' AS app_id, '{APP_NAME}' AS app_name,
       CASE WHEN event_id % 3 = 1 THEN '5.4.1' ELSE '5.0' END AS app_version,
       CAST(user_id % 20 AS INTEGER) AS helpful_count, event_id AS ingest_seq
@@ -555,10 +557,16 @@ _GOOGLE = f"""
 _APPLE = f"""
     SELECT substr(sha1('app_store|{STORE_APP_ID}|'
         || CASE WHEN event_id % 17 <> 0 THEN 'user' || user_id ELSE 'None' END || '|'
-        || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || event_type || ' ' || props), 1, 16)
+        || CASE event_id % 7 WHEN 1 THEN strftime(ts, '%Y/%m/%d %H:%M:%S')
+             WHEN 2 THEN strftime(ts, '%m/%d/%Y') WHEN 3 THEN strftime(ts, '%b %-d, %Y')
+             WHEN 4 THEN strftime(ts, '%Y%m%d') WHEN 5 THEN strftime(ts, '%Y-13-%d')
+             ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END
+        || '|' || event_type || ' ' || props), 1, 16)
         AS review_id,
       event_type || ' ' || props AS review_text, {_HEX} AS rating,
-      date_trunc('second', ts) AS review_date, 'app_store' AS source_platform,
+      CASE WHEN event_id % 7 = 5 THEN NULL
+           WHEN event_id % 7 IN (2, 3, 4) THEN date_trunc('day', ts)::TIMESTAMP
+           ELSE date_trunc('second', ts) END AS review_date, 'app_store' AS source_platform,
       '{STORE_APP_ID}' AS app_id, '{APP_NAME}' AS app_name,
       CAST(NULL AS VARCHAR) AS app_version, CAST(NULL AS INTEGER) AS helpful_count,
       event_id AS ingest_seq
