@@ -65,16 +65,16 @@ class TextParams:
     top_keywords: int = 8
     n_representative: int = 3
     seed: int = 42
-    # Seeded restarts per number of clusters. The k-means|| start oversamples and needs
-    # fewer of them than single random draws; each one reads the data max_iter times.
-    n_init: int = 3
-    max_iter: int = 40
+    # Seeded restarts per number of clusters, and how many fit side by side.
+    n_init: int = 10
+    parallel_fits: int = 4
+    # Fits end by convergence; one that reaches this number of steps is an error.
+    max_iter: int = 300
     # General list; the review filler is always added.
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
     extra_stop_words: tuple[str, ...] = REVIEW_STOP_WORDS
-    # Vocabularies up to this size are clustered as ML vectors (dense centres stay
-    # small); larger ones are clustered as (review, term, weight) rows.
-    max_vector_terms: int = 1 << 18
+    # Places that terms are hashed to for clustering; bounds the size of a centre.
+    vector_size: int = 1 << 18
     # Number of slices a very frequent term is cut into in joins on the term.
     term_salts: int = 8
 
