@@ -7,12 +7,31 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.plans.lineage import cut_lineage, ensure_checkpoint_dir
+from tidewatch.plans.lineage import cut_lineage as checkpointed
+from tidewatch.plans.lineage import ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read", "row_key", "shared_folder",
            "shuffle_parts"]
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame without the constraints that Spark has inferred for it.
+
+    A checkpointed frame keeps its constraints, and each step of an iteration over such
+    frames combines them anew: after a few steps planning takes longer than the work.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CONSTRAINTS)
+    conf.set(_CONSTRAINTS, "false")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set(_CONSTRAINTS, before)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
