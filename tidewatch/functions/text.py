@@ -21,9 +21,13 @@ LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-# Characters that are their own NFKC form and never combine: ASCII, Latin-1 letters,
-# dashes and quotes.
-_PLAIN = r"[\x00-\x7f\xc0-\xff\u2013\u2014\u2018\u2019\u201c\u201d]*"
+# Characters that are their own NFKC form and never combine with a neighbour: ASCII, Latin-1
+# letters, most of Latin Extended-A, Greek, Cyrillic, Hebrew and Arabic letters, Thai
+# consonants, kana, CJK ideographs, dashes and quotes.
+_PLAIN = (r"[\x00-\x7f\xc0-\xff\u0100-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+          r"\u0391-\u03a1\u03a3-\u03c9\u0400-\u0482\u048a-\u052f\u05d0-\u05ea"
+          r"\u0621-\u063a\u0641-\u064a\u0660-\u0669\u0e01-\u0e30\u3001\u3002\u3041-\u3094"
+          r"\u30a1-\u30f4\u4e00-\u9fa5\u2013\u2014\u2018\u2019\u201c\u201d]*")
 
 
 @F.arrow_udf(StringType())
@@ -34,6 +38,11 @@ def _nfkc(text: pa.Array) -> pa.Array:
         pa.string())
 
 
+# Not marked as deterministic, so that a filter on the result is not pushed below with a
+# second evaluation.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC form. Plain text is its own NFKC form and never leaves the JVM."""
     other = F.when(~text.rlike(f"^{_PLAIN}$"), text)
