@@ -3,33 +3,28 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.plans.lineage import cut_lineage as checkpointed
 from tidewatch.plans.lineage import ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "ensure_checkpoint_dir", "read", "row_key", "shared_folder",
            "shuffle_parts"]
 
 
-_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame without the constraints that Spark has inferred for it.
+    """The frame as a table in the shared folder, read back.
 
-    A checkpointed frame keeps its constraints, and each step of an iteration over such
-    frames combines them anew: after a few steps planning takes longer than the work.
+    Unlike a checkpointed frame, which keeps the estimate of the plan it came from, a table
+    has its true size. In iterations the estimates would multiply with every join, until
+    planning takes longer than the work, and joins would be planned for the wrong sizes.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(_CONSTRAINTS)
-    conf.set(_CONSTRAINTS, "false")
-    try:
-        return checkpointed(df)
-    finally:
-        conf.set(_CONSTRAINTS, before)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
