@@ -122,6 +122,6 @@ def classes(members: DataFrame, texts: DataFrame, shingles: Callable, threshold:
                 break
             continue
         idle = 0
-        edges = cut_lineage(edges.unionByName(links))
-        labels = cut_lineage(connected_components(edges))
+        edges = edges.unionByName(links)
+        labels = connected_components(edges)
     return labels
