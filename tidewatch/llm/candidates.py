@@ -1,9 +1,9 @@
 """From banded signatures to classes of similar texts, without pairs of whole buckets.
 
 A text is named by a 64-bit hash (`key`), a band of its signature by another (`bucket`).
-In a bucket that holds texts of different classes every text is compared with one leader.
+In a bucket that holds texts of different classes every text is compared with two leaders.
 Verified pairs are joined to classes; then buckets that still hold several classes get
-another leader, and so on until two rounds in a row link nothing or no pair is left.
+other leaders, and so on until a round links nothing or no pair is left.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ def bloom(rows: DataFrame, column: str) -> np.ndarray:
         F.col(column).bitwiseAND(F.lit(mask)),
         F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(mask)))).alias("p"))
     words = bits.groupBy(F.shiftright("p", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toPandas()
+        F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
     table = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return table
 
 
@@ -91,25 +91,24 @@ def classes(members: DataFrame, texts: DataFrame, shingles: Callable, threshold:
 
     `members` is (bucket, key) of the open buckets and `texts` (key, text) of their keys;
     both are read in every round, so they should be written tables. A bucket costs as
-    many comparisons as it has texts, in each round in which it still has several classes.
+    many comparisons as twice its texts, in each round in which it still has several classes.
     """
     spark = members.sparkSession
-    tested = edges = spark.createDataFrame([], "a long, b long")
+    tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, root long")
-    idle = 0
     for turn in range(max_rounds):
         labelled = members.join(labels, members["key"] == labels["node"], "left").select(
             "bucket", "key", F.coalesce("root", "key").alias("label"))
-        order = F.col("key") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        # Each bucket draws its own leaders, so a text meets different ones in every band.
+        entry = F.struct(F.xxhash64("key", "bucket", F.lit(turn)).alias("order"), "key", "label")
         leaders = cut_lineage(
             labelled.groupBy("bucket").agg(
                 F.min("label").alias("lo"), F.max("label").alias("hi"),
-                F.min(F.struct(order.alias("o"), "key", "label")).alias("first"))
-            .filter("lo <> hi")
-            .select("bucket", F.col("first.key").alias("leader"),
-                    F.col("first.label").alias("leader_label")))
-        pairs = (labelled.join(leaders, "bucket").filter("label <> leader_label")
-                 .select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+                F.array(F.min(entry), F.max(entry)).alias("leaders"))
+            .filter("lo <> hi").select("bucket", F.explode("leaders").alias("leader")))
+        pairs = (labelled.join(leaders, "bucket").filter("label <> leader.label")
+                 .select(F.least("key", "leader.key").alias("a"),
+                         F.greatest("key", "leader.key").alias("b"))
                  .distinct().join(tested, ["a", "b"], "left_anti"))
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
@@ -117,11 +116,22 @@ def classes(members: DataFrame, texts: DataFrame, shingles: Callable, threshold:
         links = cut_lineage(verified(pairs, texts, shingles, threshold))
         tested = tested.unionByName(pairs)
         if links.isEmpty():
-            idle += 1
-            if idle == 2:
-                break
-            continue
-        idle = 0
-        edges = edges.unionByName(links)
-        labels = connected_components(edges)
+            break
+        labels = merged(labels, links)
     return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after new links: only the roots that the links join are connected anew."""
+    root = lambda side: (links.join(labels, links[side] == labels["node"], "left")
+                         .select("a", "b", F.coalesce("root", side).alias(f"root_{side}")))
+    between = root("a").join(root("b"), ["a", "b"]).select(
+        F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    found = connected_components(between).select(
+        F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = labels.join(found, labels["root"] == found["old"], "left").select(
+        "node", F.coalesce("new", "root").alias("root"))
+    known = labels.select(F.col("node").alias("old"))
+    fresh = found.join(known, "old", "left_anti").select(
+        F.col("old").alias("node"), F.col("new").alias("root"))
+    return cut_lineage(moved.unionByName(fresh))
