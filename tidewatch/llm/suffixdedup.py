@@ -100,6 +100,56 @@ def _chunks(batches):
             yield batch, a, texts[a:b], Bytes(texts[a:b])
 
 
+def runs(rows: DataFrame, parts: int, keep: str, schema: str) -> DataFrame:
+    """Rows of runs of equal `h`, one bucket of hashes sorted in a task.
+
+    `keep`: `second` for one row per run, `all` for every row of a run of several, with
+    `copy` telling the first from the rest, `open` for those of them with start >= 0. A run
+    may be longer than a batch: only the last row is carried on.
+    """
+    names = [c for c in rows.columns]
+
+    def scan(batches):
+        held, tied = None, False
+        for batch in (*batches, None):
+            if batch is None:
+                if held is None:
+                    return
+                cols, final = [np.array([x]) for x in held], True
+            elif not batch.num_rows:
+                continue
+            else:
+                cols, final = [batch.column(c).to_numpy() for c in names], False
+                if held is not None:
+                    cols = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(held, cols)]
+            h = cols[0]
+            same = h[1:] == h[:-1]
+            before = np.concatenate([[tied], same])  # equal to the row before
+            after = np.append(same, False)
+            if not final:
+                held, tied = [c[-1] for c in cols], bool(before[-1])
+                cols, before, after = [c[:-1] for c in cols], before[:-1], after[:-1]
+            out = dict(zip(names, cols))
+            if keep == "second":
+                # A run's second row: equal to the one before, which began the run.
+                mask = before & ~np.concatenate([[seen_twice[0]], before[:-1]]) \
+                    if len(before) else before
+                if len(before):
+                    seen_twice[0] = bool(before[-1])
+            else:
+                mask = before | after
+                out["copy"] = before
+            if keep == "open":
+                mask = mask & (out["start"] >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[c][mask]) for c in wanted], names=wanted)
+
+    wanted = [c.split()[0] for c in schema.split(", ")]
+    seen_twice = [False]
+    order = [c for c in ("h", "key", "start") if c in names]
+    return rows.repartition(parts, "h").sortWithinPartitions(*order).mapInArrow(scan, schema)
+
+
 def repeated_windows(docs: DataFrame) -> np.ndarray:
     """Bit table of the hashes of sample windows that occur at least twice."""
 
@@ -109,15 +159,15 @@ def repeated_windows(docs: DataFrame) -> np.ndarray:
                 {"h": some.hashes(some.samples(), WINDOW).view(np.int64)})
 
     mask = (1 << TABLE_BITS) - 1
-    repeated = (docs.select("text").mapInArrow(sample, "h long")
-                .groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    repeated = runs(docs.select("text").mapInArrow(sample, "h long"),
+                    shuffle_parts(docs.sparkSession), "second", "h long")
     words = (repeated.select(F.explode(F.array(
         F.col("h").bitwiseAND(F.lit(mask)),
         F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask)))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toPandas())
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow())
     table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return table
 
 
@@ -198,15 +248,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return run
 
-    stretches = cut_lineage(rows.select("key", "text").mapInArrow(
-        ties, "h long, key long, start int, size int"))
-    first = cut_lineage(stretches.groupBy("h").agg(
-        F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("h", "first"))
+    stretches = rows.select("key", "text").mapInArrow(
+        ties, "h long, key long, start int, size int")
     group = F.pmod("key", F.lit(groups)).alias("group")
-    settled = cut_lineage(stretches.join(first, "h").select(
-        group, "key", "start", (F.col("start") + F.col("size")).alias("stop"),
-        (F.struct("key", "start") != F.col("first")).alias("copy")))
+    settled = cut_lineage(runs(
+        stretches, parts, "all", "key long, start int, size int, copy boolean").select(
+        group, "key", "start", (F.col("start") + F.col("size")).alias("stop"), "copy"))
     texts = (rows.mapInArrow(split(True), "doc_id string, text string, key long")
              .select("*", group).repartition(parts, "group"))
 
@@ -223,36 +270,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             known = _place(some, keys, marks[~marks["copy"].astype(bool)], 0)
             at = np.flatnonzero(some.candidates(shared.value) & ~copies)
             out.append(pd.DataFrame({
-                "h": some.hashes(at, LENGTH).view(np.int64), "key": keys[some.doc[at]],
+                "h": some.hashes(at, LENGTH).view(np.int64),
+                "key": np.where(known[at], 0, keys[some.doc[at]]),
                 "start": np.where(known[at], -1, some.offset[at]).astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame(
             {"h": np.empty(0, np.int64), "key": np.empty(0, np.int64), "start": np.empty(0, np.int32)})
 
-    def equal_neighbours(batches):
-        """Of suffixes sorted by h, the unsettled ones with an equal neighbour."""
-        held, tied = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows_ = [batch.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                rows_ = [np.concatenate([[x], y]) for x, y in zip(held, rows_)]
-            h, key, start = rows_
-            same = h[1:] == h[:-1]
-            repeated = same | np.concatenate([[tied], same[:-1]])
-            keep = repeated & (start[:-1] >= 0)
-            held, tied = [h[-1], key[-1], start[-1]], bool(same[-1]) if len(same) else tied
-            yield pa.RecordBatch.from_pydict(
-                {"key": key[:-1][keep], "start": start[:-1][keep].astype(np.int32)})
-        if held is not None and tied and held[2] >= 0:
-            yield pa.RecordBatch.from_pydict(
-                {"key": np.array([held[1]], np.int64), "start": np.array([held[2]], np.int32)})
-
-    suffixes = (texts.select("group", "key", "text").groupBy("group")
+    # Both uses of `texts` take the same columns, so they share one shuffle.
+    suffixes = (texts.groupBy("group")
                 .cogroup(settled.select("group", "key", "start", "stop", "copy").groupBy("group"))
                 .applyInPandas(open_suffixes, "h long, key long, start int"))
-    repeated = (suffixes.repartition(parts, "h").sortWithinPartitions("h")
-                .mapInArrow(equal_neighbours, "key long, start int")
+    repeated = (runs(suffixes, parts, "open", "key long, start int")
                 .select(group, "key", "start", (F.col("start") + 1).alias("stop")))
     marks = settled.select("group", "key", "start", "stop").unionByName(repeated)
 
