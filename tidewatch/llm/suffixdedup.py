@@ -9,7 +9,8 @@ LENGTH - COVER + 1 bytes in it is. The work goes down in steps:
    candidate suffixes, without a shuffle of texts;
 2. long ties: candidate stretches are cut where their content says so, and a stretch that
    occurs again with the next LENGTH - 1 bytes settles all its suffixes at once; its first
-   occurrence goes on as the partner of what is left, the others do not;
+   occurrence goes on as the partner of what is left, the others do not. Candidates whose
+   bytes between their outermost cuts occur nowhere else are dropped;
 3. the other candidates are sorted by their first LENGTH bytes (as a 64-bit hash), one
    bucket of suffixes in a task, and suffixes with an equal neighbour are repeated.
 
@@ -74,10 +75,37 @@ class Bytes:
         change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
         return (np.cumsum(change)[:n] > 0) & (self.left >= LENGTH)
 
+    def cuts(self) -> np.ndarray:
+        at = np.flatnonzero(self.left >= CUT_BYTES)
+        return at[self.hashes(at, CUT_BYTES) & CUT_MASK == 0]
+
+    def cores(self, candidate: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, stop, first, last): candidates [start, stop) with the same outermost cuts.
+
+        A repeated string has its cuts at the same places in both copies, so the bytes from
+        its first cut to its last one are repeated too. `last` is the end of those bytes;
+        candidates without a cut inside have first = last.
+        """
+        at, cut = np.flatnonzero(candidate), self.cuts()
+        lo = np.searchsorted(cut, at, "left")
+        hi = np.searchsorted(cut, at + (LENGTH - CUT_BYTES), "right") - 1
+        none = hi < lo
+        lo, hi = np.where(none, -1, lo), np.where(none, -1, hi)
+        new = np.ones(len(at), bool)
+        new[1:] = ((at[1:] != at[:-1] + 1) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+                   | (self.doc[at[1:]] != self.doc[at[:-1]]))
+        begin = np.flatnonzero(new)
+        size = np.diff(begin, append=len(at))
+        start, lo, hi = at[begin], lo[begin], hi[begin]
+        if not len(cut):
+            return start, start + size, start, start
+        has = lo >= 0
+        return (start, start + size, np.where(has, cut[lo], start),
+                np.where(has, cut[hi] + CUT_BYTES, start))
+
     def stretches(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[start, stop) between content-defined cuts, all candidates, LENGTH - 1 bytes after."""
-        at = np.flatnonzero(self.left >= CUT_BYTES)
-        cut = at[self.hashes(at, CUT_BYTES) & CUT_MASK == 0]
+        cut = self.cuts()
         start, stop = cut[:-1], cut[1:]
         total = np.concatenate([[0], np.cumsum(candidate)])
         good = ((self.doc[start] == self.doc[stop]) & (self.left[stop] >= LENGTH - 1)
@@ -225,10 +253,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             candidate = some.candidates(shared.value)
             start, stop = some.stretches(candidate)
             keys = batch.column("key").to_numpy()[a:a + len(texts)]
+            first, end, low, high = some.cores(candidate)
+            core = textvec.mixed(some.hashes(low, high - low) + np.uint64(1))
+            # Without a cut there is nothing to compare: such rows go twice, and so stay.
+            free = np.flatnonzero(high == low)
+            core[free] = textvec.mixed(keys[some.doc[first[free]]].view(np.uint64)
+                                       + some.offset[first[free]].astype(np.uint64))
+            first, end, core = (np.concatenate([x, x[free]]) for x in (first, end, core))
+            at = np.concatenate([start, first])
             yield pa.RecordBatch.from_pydict({
-                "h": some.hashes(start, stop - start + LENGTH - 1).view(np.int64),
-                "key": keys[some.doc[start]], "start": some.offset[start].astype(np.int32),
-                "size": (stop - start).astype(np.int32)})
+                "h": np.concatenate([some.hashes(start, stop - start + LENGTH - 1), core])
+                .view(np.int64),
+                "key": keys[some.doc[at]], "start": some.offset[at].astype(np.int32),
+                "size": np.concatenate([stop - start, first - end]).astype(np.int32)})
 
     def split(active):
         """Rows with candidates, or the finished result of those without."""
@@ -253,7 +290,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     group = F.pmod("key", F.lit(groups)).alias("group")
     settled = cut_lineage(runs(
         stretches, parts, "all", "key long, start int, size int, copy boolean").select(
-        group, "key", "start", (F.col("start") + F.col("size")).alias("stop"), "copy"))
+        group, "key", "start", (F.col("start") + F.abs("size")).alias("stop"), "copy",
+        (F.col("size") < 0).alias("core")))
     texts = (rows.mapInArrow(split(True), "doc_id string, text string, key long")
              .select("*", group).repartition(parts, "group"))
 
@@ -266,9 +304,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             some, keys = Bytes(data[a:b]), left["key"].to_numpy(np.int64)[a:b]
             marks = [order[k] for k in dict.fromkeys(keys.tolist()) if k in order]
             marks = pd.concat(marks) if marks else right.iloc[:0]
-            copies = _place(some, keys, marks[marks["copy"].astype(bool)], 0)
-            known = _place(some, keys, marks[~marks["copy"].astype(bool)], 0)
-            at = np.flatnonzero(some.candidates(shared.value) & ~copies)
+            core, copy = marks["core"].to_numpy(bool), marks["copy"].to_numpy(bool)
+            copies = _place(some, keys, marks[copy & ~core], 0)
+            known = _place(some, keys, marks[~copy & ~core], 0)
+            inside = _place(some, keys, marks[core], 0)
+            at = np.flatnonzero(inside & ~copies)
             out.append(pd.DataFrame({
                 "h": some.hashes(at, LENGTH).view(np.int64),
                 "key": np.where(known[at], 0, keys[some.doc[at]]),
@@ -278,11 +318,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     # Both uses of `texts` take the same columns, so they share one shuffle.
     suffixes = (texts.groupBy("group")
-                .cogroup(settled.select("group", "key", "start", "stop", "copy").groupBy("group"))
+                .cogroup(settled.groupBy("group"))
                 .applyInPandas(open_suffixes, "h long, key long, start int"))
     repeated = (runs(suffixes, parts, "open", "key long, start int")
                 .select(group, "key", "start", (F.col("start") + 1).alias("stop")))
-    marks = settled.select("group", "key", "start", "stop").unionByName(repeated)
+    marks = settled.filter("NOT core").select("group", "key", "start", "stop").unionByName(repeated)
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
