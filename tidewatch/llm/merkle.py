@@ -64,7 +64,8 @@ def _buckets(docs: DataFrame) -> DataFrame:
 
     Quantiles of doc_id give `INTERVALS` intervals; each is cut evenly by value into as
     many buckets as its share of rows needs. Only the quantiles come to the driver. Null
-    ids follow all others, spread by the text's hash.
+    ids follow all others, spread by the text's hash. Neither column can be null, so that
+    joins on them add no filter and all readers share one shuffle.
     """
     at = [k / INTERVALS for k in range(INTERVALS + 1)]
     stats = docs.agg(F.percentile_approx("doc_id", at, 4 * INTERVALS).alias("q"),
@@ -76,11 +77,11 @@ def _buckets(docs: DataFrame) -> DataFrame:
     inner = "array(" + ", ".join(f"{int(p)}L" for p in points[1:-1]) + ")"
     return (docs
             .withColumn("i", F.expr(f"IF(doc_id IS NULL, -1, size(filter({inner}, b -> b < doc_id)))"))
-            .withColumn("s", F.expr(f"""
+            .withColumn("s", F.expr(f"""coalesce(
                 CASE WHEN doc_id IS NULL THEN pmod(xxhash64(text), {spread})
                      WHEN {q}[i + 1] <= {q}[i] THEN 0L
                      ELSE CAST(greatest(0D, least({parts} - 1D, floor((doc_id - {q}[i])
-                       / CAST({q}[i + 1] - {q}[i] AS DOUBLE) * {parts}))) AS BIGINT) END""")))
+                       / CAST({q}[i + 1] - {q}[i] AS DOUBLE) * {parts}))) AS BIGINT) END, 0L)""")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
