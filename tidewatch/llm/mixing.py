@@ -86,41 +86,48 @@ def draws(targets: DataFrame, seed: int, block: int = BLOCK_WORDS,
     have the target as mean and vary little. `first` numbers a source's draws over the
     shards; draws beyond `max_passes` passes over the source stay empty.
     """
-    whole = Window.partitionBy(F.lit(0))
-    shares = (
-        targets.withColumn("total", F.sum("target").over(whole))
-        .withColumn("p", F.when(F.col("total") > 0, F.col("target") / F.col("total"))
-                    .otherwise(F.lit(0.0)))
-        .withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-        .withColumn("fixed", F.floor(F.col("p") * shard_blocks))
-        .withColumn("rest", F.col("p") * shard_blocks - F.col("fixed")))
-    one = (shares.groupBy().agg(
-        F.max("total").alias("total"),
+    one = (targets.groupBy().agg(
+        F.sum("target").alias("total"),
         F.array_sort(F.collect_list(F.struct(
-            F.col("source").isNull().alias("last"), "source", "n_blocks", "fixed", "rest")))
+            F.col("source").isNull().alias("last"), "source",
+            F.ceil(F.col("source_size") / block).alias("n_blocks"), "target")))
         .alias("sources"))
-        .withColumn("shards", F.ceil(F.col("total") / (block * shard_blocks)).cast("long"))
+        .withColumn("blocks", F.round(F.col("total") / block).cast("long")))
+    # The last shard is as short as the rest of the mix.
+    per_shard = (
+        one.filter("blocks > 0")
+        .select("*", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {shard_blocks})"))
+                .alias("shard"))
+        .withColumn("slots", F.least(F.lit(shard_blocks), F.col("blocks")
+                                     - F.col("shard") * shard_blocks))
+        .withColumn("means", F.expr("transform(sources, s -> s.target / total * slots)"))
         .withColumn("left", F.expr(
-            f"{shard_blocks} - aggregate(sources, 0L, (t, x) -> t + x.fixed)"))
+            "slots - aggregate(means, 0L, (t, m) -> t + CAST(floor(m) AS BIGINT))"))
         .withColumn("bounds", F.expr(
-            "aggregate(sources, CAST(array() AS ARRAY<DOUBLE>), (a, x) -> "
-            "array_append(a, coalesce(try_element_at(a, -1), 0D) + x.rest))")))
-    per_shard = (
-        one.filter("shards > 0")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-        .repartition(shuffle_parts(targets.sparkSession), "shard")
+            "aggregate(means, CAST(array() AS ARRAY<DOUBLE>), (a, m) -> "
+            "array_append(a, coalesce(try_element_at(a, -1), 0D) + m - floor(m)))"))
         .withColumn("picked", F.expr(f"""
             transform(filter(sequence(0L, greatest(left, 1L) - 1), i -> i < left), i ->
               least(size(sources) - 1, size(filter(bounds, b -> b <=
                 (xxhash64({seed}L, shard, i) & 9007199254740991L) / 9007199254740992D
                 * element_at(bounds, -1)))))"""))
-        .select("shard", F.posexplode("sources").alias("i", "s"), "picked")
+        .select("shard", "picked", "means", F.posexplode("sources").alias("i", "s"))
         .select("shard", F.col("s.source").alias("source"), F.col("s.n_blocks").alias("n_blocks"),
-                F.expr("s.fixed + size(filter(picked, k -> k = i))").alias("drawn")))
-    before = (Window.partitionBy("source").orderBy("shard")
-              .rowsBetween(Window.unboundedPreceding, -1))
+                F.expr("CAST(floor(means[i]) AS BIGINT) + size(filter(picked, k -> k = i))")
+                .alias("drawn")))
+    # Two steps, since a source has as many rows here as there are output shards.
+    group = F.floor(F.sqrt("shard")).cast("long")
+    grouped = per_shard.withColumn("group", group)
+    sums = grouped.groupBy("source", "group").agg(F.sum("drawn").alias("group_drawn"))
+    past = lambda column, order: F.coalesce(F.sum(column).over(
+        order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.select(F.col("source").alias("s"), F.col("group").alias("g"), past(
+        "group_drawn", Window.partitionBy("source").orderBy("group")).alias("group_first"))
+    inside = Window.partitionBy("source", "group").orderBy("shard")
     limit = F.col("n_blocks") * max_passes
-    return (per_shard.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+    return (grouped.withColumn("inside", past("drawn", inside))
+            .join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g")))
+            .withColumn("first", F.col("group_first") + F.col("inside"))
             .withColumn("taken", F.greatest(F.lit(0), F.least("drawn", limit - F.col("first"))))
             .filter("taken > 0").select("shard", "source", "n_blocks", "first", "taken"))
 
@@ -137,9 +144,11 @@ def permuted(index: str, n: str, source: str, seed: int, rounds: int = ROUNDS) -
 
 
 def drawn_blocks(drawn: DataFrame, seed: int) -> DataFrame:
-    """(shard, place, source, block) of every output slot."""
+    """(shard, place, source, block) of every output slot, unrolled shard by shard."""
+    parts = shuffle_parts(drawn.sparkSession)
     return (
-        drawn.withColumn("j", F.explode(F.expr("sequence(first, first + taken - 1)")))
+        drawn.repartition(parts, "shard", "source")
+        .withColumn("j", F.explode(F.expr("sequence(first, first + taken - 1)")))
         .withColumn("place", F.col("j") - F.col("first"))
         .withColumn("block", permuted("pmod(j, n_blocks)", "n_blocks", "source", seed))
         .select("shard", "place", "source", "block"))
