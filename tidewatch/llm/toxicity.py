@@ -21,6 +21,7 @@ BITS = 20
 # Bound on the labelled rows of a fit; beyond it a sample by hash of doc_id is taken.
 MAX_ROWS = 40_000
 SHARDS, ROUNDS = 4, 3
+PIECE = 1 << 14  # buckets of a shard's state in one row
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
 STEM = 6
 THRESHOLD = 0.3
@@ -68,19 +69,29 @@ def _shard_pass(start):
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         if start.value is not None:
-            at, z0, n0 = start.value
-            z[at], n[at] = z0, n0
+            z[:], n[:] = start.value
         part = part.sort_values(["doc_id", "text"], kind="stable")
         texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in part["text"]]
         x = [f for a, b in textvec.chunks(texts) for f in distinct_features(texts[a:b])]
         order = np.random.default_rng(7).permutation(len(x))
         ftrl_pass([x[i] for i in order], part["toxic"].to_numpy(float)[order], z, n)
-        used = np.flatnonzero(n)
-        return pd.DataFrame({"bucket": used, "z": z[used], "n": n[used]})
+        pieces = [(k, z[k:k + PIECE].astype(np.float32).tobytes(),
+                   n[k:k + PIECE].astype(np.float32).tobytes()) for k in range(0, len(z), PIECE)]
+        return pd.DataFrame(pieces, columns=["at", "z", "n"]).assign(
+            shard=part["shard"].iloc[0])
 
     return learn
 
 
+def _mean_piece(part: pd.DataFrame) -> pd.DataFrame:
+    """Average of the shards' states in one range of buckets."""
+    part = part.sort_values("shard")
+    mean = {c: np.mean([np.frombuffer(b, np.float32) for b in part[c]], axis=0, dtype=float)
+            for c in ("z", "n")}
+    return pd.DataFrame([(part["at"].iloc[0], *(mean[c].astype(np.float32).tobytes()
+                                               for c in ("z", "n")))], columns=["at", "z", "n"])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, text, toxic) of labelled rows whose crc32(doc_id) mod 4 is not 2.
 
@@ -100,19 +111,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: in
     """Non-zero weights by bucket, the intercept under 2**BITS; empty without labels."""
     spark = docs.sparkSession
     rows = cut_lineage(training_rows(docs, labels, max_rows).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))))
+        "shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")))
     state = None
     for _ in range(rounds):
         learn = _shard_pass(spark.sparkContext.broadcast(state))
-        learned = (rows.groupBy("shard").applyInPandas(learn, "bucket long, z double, n double")
-                   .groupBy("bucket").agg((F.sum("z") / shards).alias("z"),
-                                          (F.sum("n") / shards).alias("n")))
-        # At most 2**BITS + 1 rows.
-        table = learned.orderBy("bucket").toPandas()
-        state = tuple(table[c].to_numpy() for c in ("bucket", "z", "n"))
-    at, z, n = state
-    w = weights_of(z, n)
-    return {int(b): float(v) for b, v in zip(at, w) if v}
+        pieces = (rows.groupBy("shard").applyInPandas(learn, "at int, z binary, n binary, shard int")
+                  .groupBy("at").applyInPandas(_mean_piece, "at int, z binary, n binary")
+                  .toArrow().sort_by("at"))  # 2**BITS + 1 pairs of numbers
+        if not pieces.num_rows:
+            return {}
+        state = tuple(np.concatenate([np.frombuffer(b.as_py(), np.float32) for b in pieces[c]])
+                      .astype(float) for c in ("z", "n"))
+    w = weights_of(*state)
+    at = np.flatnonzero(w)
+    w = w[at]
+    return {int(b): float(v) for b, v in zip(at, w)}
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
