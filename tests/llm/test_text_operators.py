@@ -96,6 +96,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert bagminhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_classes_without_ids_of_their_own(spark):
+    """Null and repeated ids name no class; each class keeps one document."""
+    rows = [(None, sentence(50 + k, 40), "en", "s", 0) for k in range(6)]
+    rows += [rows[0], (7, sentence(60, 40), "en", "s", 0), (7, sentence(61, 40), "en", "s", 0)]
+    got = bagminhash.near_duplicates(frame(spark, rows)).collect()
+    assert len({r.root for r in got}) == 8 and sorted(r.class_size for r in got) == [1] * 7 + [2] * 2
+    kept = [r.text for r in bagminhash.one_per_class(frame(spark, rows)).collect()]
+    assert Counter(kept) == Counter({r[1] for r in rows})
+
+
 def test_a_bucket_costs_its_members_not_its_pairs(spark):
     """Many near copies of one text: tested pairs stay far below all pairs."""
     base = words(9, 200)
@@ -108,6 +118,48 @@ def test_a_bucket_costs_its_members_not_its_pairs(spark):
     assert {r.class_id for r in got} == {0} and {r.class_size for r in got} == {60}
 
 
+def edited_copies(n, edits=20, size=1000):
+    """An original and n copies with other words, some 0.82 to it and 0.68 to each other."""
+    base = words(77, size, 10**6)
+    rows = [(0, " ".join(base), "en", "s", 0)]
+    for k in range(1, n + 1):
+        changed = list(base)
+        for i in np.random.default_rng(k).choice(size, edits, replace=False):
+            changed[i] = f"c{k}x{i}"
+        rows.append((k, " ".join(changed), "en", "s", 0))
+    return rows
+
+
+def linked_in_one_bucket(spark, texts, kind):
+    """Number of texts in the first one's class if all are in a bucket that draws it late."""
+    texts = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = candidates.classes(texts.select(F.lit(2).cast("long").alias("bucket"), "key"), texts,
+                               kind.shingles, 0.8)
+    return found.filter("root = 0").count()
+
+
+def test_copies_similar_to_the_original_only(spark):
+    """No two copies are similar, so leaders find no link; the rest is compared."""
+    rows = edited_copies(150)
+    sets = [shingles(r[1]) for r in rows]
+    assert all(jaccard(sets[0], s) >= 0.8 for s in sets[1:])
+    assert all(jaccard(a, b) < 0.8 for a, b in zip(sets[1:], sets[2:]))
+    assert linked_in_one_bucket(spark, [r[1] for r in rows], bagminhash) == 151
+
+
+def test_prefix_pairs_miss_no_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    base = words(8, 60, 30)
+    texts = [" ".join(w if rng.random() > 0.03 else f"w{rng.integers(30)}" for w in base)
+             for _ in range(60)]
+    rows = [(i, i % 7, t) for i, t in enumerate(texts)]
+    got = set(map(tuple, candidates.prefix_pairs(
+        spark.createDataFrame(rows, "key long, label long, text string"), bagminhash.shingles,
+        0.6).collect()))
+    expected = {(a, b) for a, b in similar_pairs([shingles(t) for t in texts], 0.6) if a % 7 != b % 7}
+    assert len(expected) > 20 and expected <= got
+
+
 # --- lines ---------------------------------------------------------------------------
 
 def lines_by_force(rows, threshold=0.8):
@@ -146,6 +198,17 @@ def test_lines_of_odd_rows(spark):
     assert fuzzylines.deduplicate_lines(frame(spark, [])).count() == 0
 
 
+def test_template_lines_match_brute_force(spark):
+    """Very many lines of one template that differ, with a few similar ones among them."""
+    names = [" ".join(words(k, 3, 10**6)) for k in range(150)]
+    lines = [f"This work is licensed to {n} under the terms of the licence, see {n[::-1]}"
+             for n in names]
+    lines += [f"{lines[k]}!" for k in range(0, 150, 10)]
+    rows = [(k, line, "en", "s", 0) for k, line in enumerate(lines)]
+    got = {r.doc_id: r.removed for r in fuzzylines.deduplicate_lines(frame(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if v} == lines_by_force([r[:2] for r in rows])
+
+
 # --- repeated substrings -------------------------------------------------------------
 
 def repeats_by_force(texts, length):

@@ -3,7 +3,9 @@
 A text is named by a 64-bit hash (`key`), a band of its signature by another (`bucket`).
 In a bucket that holds texts of different classes every text is compared with two leaders.
 Verified pairs are joined to classes; then buckets that still hold several classes get
-other leaders, and so on until a round links nothing or no pair is left.
+other leaders, as long as leaders find many links. The texts of the buckets that are open
+then are finished exactly: similar texts share one of their rarest shingles, so all pairs of
+different classes that do are compared.
 """
 
 from __future__ import annotations
@@ -15,13 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import textvec
 from tidewatch.llm.common import cut_lineage
 from tidewatch.llm.components import connected_components
 
 # Size of the filter that is broadcast, whatever the number of keys. More keys make it let
 # more rows pass, which costs time only: what passes is joined exactly afterwards.
 BLOOM_BITS = 25
-MAX_ROUNDS = 8
+# Another round of leaders is worth it if this share of the last round's pairs was linked.
+WORTH = 0.25
+# Slots of the table by which shingles are ordered from rare to common, whatever their number.
+SLOT_BITS = 20
+# Outsiders of a shingle's most common class that are compared in one group of the join.
+BLOCK = 256
+PREFIX_ROWS = 1 << 18
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def bloom(rows: DataFrame, column: str) -> np.ndarray:
@@ -85,40 +95,135 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable, threshold:
         test, "a long, b long")
 
 
-def classes(members: DataFrame, texts: DataFrame, shingles: Callable, threshold: float,
-            max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def elements(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset as a set of hashes, in which the copies of a shingle are elements of their own."""
+    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return textvec.mixed(np.repeat(h, counts) + copy.astype(np.uint64) * np.uint64(_GOLDEN))
+
+
+def slot_counts(texts: DataFrame, shingles: Callable) -> np.ndarray:
+    """How many elements of the texts fall in each slot: 8 MB."""
+
+    def count(batches):
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(total, elements(*shingles(text)) >> np.uint64(64 - SLOT_BITS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": at, "n": total[at]})
+
+    found = (texts.select("text").mapInArrow(count, "slot long, n long")
+             .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())
+    table = np.zeros(1 << SLOT_BITS, np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def prefixes(texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
+    """(key, label, token, place, size): the rarest elements of every (key, label, text).
+
+    All texts order their elements alike, and two that reach the threshold share one of the
+    first `size - threshold * size + 1`.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, shingles))
+    names = ["key", "label", "token", "place", "size"]
+
+    def make(batches):
+        for batch in batches:
+            keys, labels = (batch.column(c).to_numpy() for c in ("key", "label"))
+            parts, at, rows = [], [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                e = elements(*shingles(text))
+                take = len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1
+                order = np.lexsort((e, shared.value[e >> np.uint64(64 - SLOT_BITS)]))[:take]
+                parts.append((e[order].view(np.int64), np.arange(len(order)),
+                              np.full(len(order), len(e))))
+                at.append(np.full(len(order), i))
+                rows += len(order)
+                if rows >= PREFIX_ROWS or i == batch.num_rows - 1:
+                    who = np.concatenate(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (keys[who], labels[who],
+                                               *map(np.concatenate, zip(*parts)))], names=names)
+                    parts, at, rows = [], [], 0
+
+    return texts.select("key", "label", "text").mapInArrow(
+        make, "key long, label long, token long, place long, size long")
+
+
+def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different classes of (key, label, text) that may reach the threshold.
+
+    Of the texts with a token only those outside its most common class are joined with all,
+    in blocks, so pairs within a large class are never made and no token's group is in one
+    task. Sizes and places leave out pairs whose overlap cannot suffice.
+    """
+    rows = cut_lineage(prefixes(texts, shingles, threshold))
+    groups = (rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"),
+                                    F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+              .filter("labels > 1")
+              .select("token", F.col("most.label").alias("main"),
+                      F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks")))
+    grouped = cut_lineage(rows.join(groups, "token"))
+    left = grouped.filter("label <> main").select(
+        "token", F.pmod(F.xxhash64("key"), "blocks").alias("block"), F.col("key").alias("x"),
+        F.col("label").alias("label_x"), F.col("place").alias("i"), F.col("size").alias("n"))
+    right = grouped.select(
+        "token", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
+        F.col("key").alias("y"), F.col("label").alias("label_y"), F.col("place").alias("j"),
+        F.col("size").alias("m"))
+    near = (F.col("label_x") != F.col("label_y")) & F.expr(
+        f"least(n, m) >= {threshold}D * greatest(n, m) - 1e-6D AND least(n - i, m - j) "
+        f">= {threshold / (1 + threshold)!r}D * (n + m) - 1e-6D")
+    return (left.join(right, ["token", "block"]).filter(near)
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def classes(members: DataFrame, texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
     """(node, root) of all texts with a verified link.
 
     `members` is (bucket, key) of the open buckets and `texts` (key, text) of their keys;
     both are read in every round, so they should be written tables. A bucket costs as
-    many comparisons as twice its texts, in each round in which it still has several classes.
+    many comparisons as twice its texts in a round of leaders. Rounds only save work: at the
+    end every pair of a bucket is in one class, compared, or too far apart by its prefixes.
     """
     spark = members.sparkSession
     tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, root long")
-    for turn in range(max_rounds):
+    turn, leading = 0, True
+    while True:
         labelled = members.join(labels, members["key"] == labels["node"], "left").select(
             "bucket", "key", F.coalesce("root", "key").alias("label"))
         # Each bucket draws its own leaders, so a text meets different ones in every band.
         entry = F.struct(F.xxhash64("key", "bucket", F.lit(turn)).alias("order"), "key", "label")
-        leaders = cut_lineage(
+        # A round of leaders has compared all pairs of three texts.
+        opened = cut_lineage(
             labelled.groupBy("bucket").agg(
                 F.min("label").alias("lo"), F.max("label").alias("hi"),
-                F.array(F.min(entry), F.max(entry)).alias("leaders"))
-            .filter("lo <> hi").select("bucket", F.explode("leaders").alias("leader")))
-        pairs = (labelled.join(leaders, "bucket").filter("label <> leader.label")
-                 .select(F.least("key", "leader.key").alias("a"),
-                         F.greatest("key", "leader.key").alias("b"))
-                 .distinct().join(tested, ["a", "b"], "left_anti"))
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            break
+                F.count(F.lit(1)).alias("n"), F.array(F.min(entry), F.max(entry)).alias("leaders"))
+            .filter("lo <> hi").filter(f"n > {3 if turn else 0}").select("bucket", "leaders"))
+        if opened.isEmpty():
+            return labels
+        if leading:
+            leaders = opened.select("bucket", F.explode("leaders").alias("leader"))
+            pairs = (labelled.join(leaders, "bucket").filter("label <> leader.label")
+                     .select(F.least("key", "leader.key").alias("a"),
+                             F.greatest("key", "leader.key").alias("b")).distinct())
+        else:
+            rest = (labelled.join(opened.select("bucket"), "bucket", "left_semi")
+                    .select("key", "label").distinct())
+            pairs = prefix_pairs(cut_lineage(texts.join(rest, "key")), shingles, threshold)
+        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
         links = cut_lineage(verified(pairs, texts, shingles, threshold))
+        n_links = links.count()
+        if n_links:
+            labels = merged(labels, links)
+        if not leading:
+            return labels
+        leading = n_links > WORTH * pairs.count()
         tested = tested.unionByName(pairs)
-        if links.isEmpty():
-            break
-        labels = merged(labels, links)
-    return labels
+        turn += 1
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
