@@ -160,13 +160,14 @@ def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, class_id, class_size of every document.
+    """doc_id, key, root, class_id, class_size of every document.
 
     Documents are in a class if their texts are equal or linked by pairs whose multisets of
-    five-word shingles have a weighted Jaccard similarity of at least the threshold; class_id is
-    the least doc_id of the class. A null text counts as empty, and texts without words are in a
-    class with equal texts only. Null ids are never the class_id unless the class has no other.
-    Repeated rows are in the same class and count. Other columns are not read.
+    five-word shingles have a weighted Jaccard similarity of at least the threshold; root, the
+    least text hash of the class, is its name, and class_id the least doc_id, which names no
+    class where ids are null or repeated. A null text counts as empty, and texts without words
+    are in a class with equal texts only. Null ids are never the class_id unless the class has
+    no other. Repeated rows are in the same class and count. Other columns are not read.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) \
         .withColumn("key", F.xxhash64("text"))
@@ -180,19 +181,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "key", F.coalesce("root", "key").alias("root"), "least", "n"))
     whole = cut_lineage(rooted.groupBy("root").agg(
         F.min("least").alias("class_id"), F.sum("n").alias("class_size")))
-    classed = cut_lineage(rooted.join(whole, "root").select("key", "class_id", "class_size"))
+    classed = cut_lineage(rooted.join(whole, "root").select(
+        "key", "root", "class_id", "class_size"))
     return texts.select("doc_id", "key").join(classed, "key").select(
-        "doc_id", "key", "class_id", "class_size")
+        "doc_id", "key", "root", "class_id", "class_size")
 
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that with the least doc_id, with all its columns.
 
-    Of repeated rows with that id and text one stays.
+    Of equal ids that with the least text hash stays, a null id only in a class without
+    others. Of repeated rows with that id and text one stays.
     """
-    keep = (near_duplicates(docs, threshold).filter("doc_id <=> class_id")
-            .groupBy("class_id").agg(F.min("key").alias("key_kept"))
-            .select(F.col("class_id").alias("id_kept"), "key_kept"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    keep = (near_duplicates(docs, threshold).groupBy("root").agg(F.min(order).alias("first"))
+            .select(F.col("first.doc_id").alias("id_kept"), F.col("first.key").alias("key_kept")))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     return (docs.withColumn("key_here", key)
             .join(keep, F.col("doc_id").eqNullSafe(F.col("id_kept"))
