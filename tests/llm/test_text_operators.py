@@ -198,6 +198,10 @@ def test_lines_of_odd_rows(spark):
     assert fuzzylines.deduplicate_lines(frame(spark, [])).count() == 0
 
 
+def test_bands_miss_few_lines_at_the_threshold():
+    assert (1 - fuzzylines.THRESHOLD ** fuzzylines.ROWS) ** fuzzylines.BANDS < 1e-4
+
+
 def test_template_lines_match_brute_force(spark):
     """Very many lines of one template that differ, with a few similar ones among them."""
     names = [" ".join(words(k, 3, 10**6)) for k in range(150)]
