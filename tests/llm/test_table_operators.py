@@ -215,6 +215,15 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert not any(got[r[0]].accepted for r in bad)
 
 
+def test_quality_keeps_a_language_with_few_trusted_rows(spark):
+    """Its clean documents are held against the pooled model and that model's ceiling."""
+    good, _, labels = quality_case(spark)
+    rare = [(4000 + i, sentence(4000 + i, 60), "xx", "s", 0) for i in range(40)]
+    labels = labels.union(spark.createDataFrame([(4000 + i, 1, 0) for i in range(8)], LABELS))
+    got = {r.doc_id: r for r in quality.quality(frame(spark, good + rare), labels).collect()}
+    assert sum(got[r[0]].accepted for r in rare) >= 0.9 * len(rare)
+
+
 def test_quality_of_odd_rows(spark):
     good, _, labels = quality_case(spark)
     docs = frame(spark, good + odd_rows())
