@@ -343,6 +343,12 @@ def test_fingerprints_of_odd_rows(spark):
     assert merkle.fingerprint_documents(frame(spark, [])).count() == 0
 
 
+def test_blanks_on_a_line_change_the_root(spark):
+    texts = [("a\n\nb",), ("a\n \nb",), ("a\n\t\nb",), ("a\n  \nb",)]
+    got = spark.createDataFrame(texts, "t string").select(merkle.fingerprint("t").alias("f")).collect()
+    assert len({r.f.split(" ")[0] for r in got}) == 4
+
+
 def test_changed_paragraphs_locate_an_edit(spark):
     a = "first one.\nsecond one.\n\nthird one.\nfourth one."
     got = spark.createDataFrame([(a, a.replace("third", "3rd"))], "a string, b string").select(

@@ -1,7 +1,8 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short pieces.
 
-Blank lines end sections, line ends end paragraphs, and a paragraph's leaves are pieces of
-at most `PIECE` characters that also end with a sentence. A node is the hash of its
+Empty lines end sections (a line of blanks is a paragraph, so its blanks are hashed), line
+ends end paragraphs, and a paragraph's leaves are pieces of at most `PIECE` characters that
+also end with a sentence. A node is the hash of its
 children's hashes, so equal roots mean equal structure and text, and unequal branches lead
 to the places of an edit. The fingerprint is the tree written in preorder: R<root>,
 S<section>, P<paragraph>, then the paragraph's leaves shortened to 8 hex digits.
@@ -23,7 +24,7 @@ def fingerprint(text: str, piece: int = PIECE) -> Column:
     """Fingerprint of a text column, which must not be null."""
     leaf = rf"[^.!?]{{1,{piece}}}[.!?]*|[.!?]+"
     return F.expr(f"""
-      transform(array(transform(split({text}, '\\n[ \\t]*\\n'), section ->
+      transform(array(transform(split({text}, '\\n\\n'), section ->
         transform(array(transform(split(section, '\\n'), paragraph ->
           transform(array(transform(regexp_extract_all(paragraph, '(?s){leaf}', 0),
                                     x -> hex(xxhash64(x)))), leaves ->
