@@ -138,6 +138,15 @@ def test_mixed_documents_keep_their_columns(spark):
     assert mixing.mixed_documents(frame(spark, [(1, None, None, None, None)])).count() == 0
 
 
+def test_draws_count_blocks_by_their_words(spark):
+    """Blocks of a small source are shorter than 32 words, so more of them are drawn."""
+    sizes = [(f"s{k}", 1.0, 100, 100.0) for k in range(30)]
+    targets = spark.createDataFrame(
+        sizes, "source string, weight double, source_size long, target double")
+    drawn = sum(r.taken for r in mixing.draws(targets, 3).collect())
+    assert abs(drawn * 25 - 3000) < 0.05 * 3000
+
+
 # --- quality -------------------------------------------------------------------------
 
 def kneser_ney_by_force(texts, order=4):

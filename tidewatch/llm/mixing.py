@@ -86,13 +86,17 @@ def draws(targets: DataFrame, seed: int, block: int = BLOCK_WORDS,
     have the target as mean and vary little. `first` numbers a source's draws over the
     shards; draws beyond `max_passes` passes over the source stay empty.
     """
+    # A source's last block is shorter, so a block is its words by its blocks on average.
+    want = F.when(F.col("source_size") > 0, F.col("target") * F.ceil(
+        F.col("source_size") / block) / F.col("source_size")).otherwise(0.0)
     one = (targets.groupBy().agg(
-        F.sum("target").alias("total"),
+        F.sum(want).alias("total"),
         F.array_sort(F.collect_list(F.struct(
             F.col("source").isNull().alias("last"), "source",
-            F.ceil(F.col("source_size") / block).alias("n_blocks"), "target")))
+            F.ceil(F.col("source_size") / block).alias("n_blocks"),
+            want.alias("want"))))
         .alias("sources"))
-        .withColumn("blocks", F.round(F.col("total") / block).cast("long")))
+        .withColumn("blocks", F.round("total").cast("long")))
     # The last shard is as short as the rest of the mix.
     per_shard = (
         one.filter("blocks > 0")
@@ -100,7 +104,7 @@ def draws(targets: DataFrame, seed: int, block: int = BLOCK_WORDS,
                 .alias("shard"))
         .withColumn("slots", F.least(F.lit(shard_blocks), F.col("blocks")
                                      - F.col("shard") * shard_blocks))
-        .withColumn("means", F.expr("transform(sources, s -> s.target / total * slots)"))
+        .withColumn("means", F.expr("transform(sources, s -> s.want / total * slots)"))
         .withColumn("left", F.expr(
             "slots - aggregate(means, 0L, (t, m) -> t + CAST(floor(m) AS BIGINT))"))
         .withColumn("bounds", F.expr(
