@@ -9,6 +9,7 @@ from tidewatch.llm.fuzzylines import deduplicate_lines
 from tidewatch.llm.merkle import fingerprint_documents
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.quality import quality
+from tidewatch.llm.ranked import RANKED_SQL, ranked
 from tidewatch.llm.sharding import shard_documents
 from tidewatch.llm.suffixdedup import remove_repeats
 from tidewatch.llm.toxicity import classify
@@ -56,6 +57,10 @@ def op10_decontamination(spark, folder):
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op13_ranked_search(spark, folder):
+    return ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -67,7 +72,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op10_decontamination": CONTAMINATION_SQL,
+    "op13_ranked_search": RANKED_SQL,
 }
