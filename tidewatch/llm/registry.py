@@ -8,6 +8,7 @@ from tidewatch.llm.decontaminate import CONTAMINATION_SQL, contamination
 from tidewatch.llm.fuzzylines import deduplicate_lines
 from tidewatch.llm.merkle import fingerprint_documents
 from tidewatch.llm.mixing import mix
+from tidewatch.llm.negatives import NEGATIVES_SQL, hard_negatives
 from tidewatch.llm.quality import quality
 from tidewatch.llm.ranked import RANKED_SQL, ranked
 from tidewatch.llm.sharding import shard_documents
@@ -57,6 +58,10 @@ def op10_decontamination(spark, folder):
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op12_hard_negatives(spark, folder):
+    return hard_negatives(read(spark, folder, "embeddings"))
+
+
 def op13_ranked_search(spark, folder):
     return ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -72,9 +77,11 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op10_decontamination": CONTAMINATION_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
     "op13_ranked_search": RANKED_SQL,
 }
