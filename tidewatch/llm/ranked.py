@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import textvec
-from tidewatch.llm.common import cut_lineage
+from tidewatch.llm.common import cut_lineage, shuffle_parts
 
 TOP = 10
 SHARD_POSTINGS = 500_000
+SHARD_DOCS = 2000  # smaller shards are not made to have more tasks
 # Items are searched in blocks of about so many distinct terms, which bounds what is broadcast.
 BLOCK_TERMS = 200_000
 BATCH = 128  # intervals split at a time
@@ -228,7 +229,8 @@ def search_block(docs: DataFrame, block: list, top: int, shard_postings: int) ->
     for k, _, h, times in block:
         at = np.searchsorted(vocabulary, h).astype(np.int32)
         queries.append((k, at, weights[at] * times * (df[at] > 0)))
-    shards = max(1, -(-postings // (4 * shard_postings)))
+    shards = max(1, -(-postings // (4 * shard_postings)),
+                 min(shuffle_parts(docs.sparkSession), n_docs // SHARD_DOCS))
     rows = (counted.filter(F.length("terms") > 0)
             .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
             .select("shard", "doc_id", "n", "terms", "tfs"))
