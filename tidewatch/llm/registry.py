@@ -6,6 +6,7 @@ from tidewatch.llm.bagminhash import near_duplicates
 from tidewatch.llm.common import read
 from tidewatch.llm.decontaminate import CONTAMINATION_SQL, contamination
 from tidewatch.llm.fuzzylines import deduplicate_lines
+from tidewatch.llm.langid import identify
 from tidewatch.llm.merkle import fingerprint_documents
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.negatives import NEGATIVES_SQL, hard_negatives
@@ -58,6 +59,10 @@ def op10_decontamination(spark, folder):
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op11_language(spark, folder):
+    return identify(read(spark, folder, "documents"))
+
+
 def op12_hard_negatives(spark, folder):
     return hard_negatives(read(spark, folder, "embeddings"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op11_language": op11_language,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_ranked_search": op13_ranked_search,
 }
