@@ -67,14 +67,12 @@ class TextParams:
     seed: int = 42
     # Seeded restarts per number of clusters, and how many fit side by side.
     n_init: int = 10
-    parallel_fits: int = 4
+    parallel_fits: int = 8
     # Fits end by convergence; one that reaches this number of steps is an error.
     max_iter: int = 300
     # General list; the review filler is always added.
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
     extra_stop_words: tuple[str, ...] = REVIEW_STOP_WORDS
-    # Places that terms are hashed to for clustering; bounds the size of a centre.
-    vector_size: int = 1 << 18
     # Number of slices a very frequent term is cut into in joins on the term.
     term_salts: int = 8
 

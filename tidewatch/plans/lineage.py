@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -24,3 +26,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to reliable storage and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read back.
+
+    A table has its true size, where a checkpoint keeps the estimate of its plan. A schema
+    may name other types of the same stored form, such as vectors for their structs.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
