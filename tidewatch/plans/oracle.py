@@ -579,8 +579,11 @@ ORACLE_SQL: dict[str, str] = {
     "stacked_sources": f"""
         SELECT source_platform, app_id, rating, count(*) AS reviews,
                count(review_date) AS dated, count(app_version) AS versioned,
-               count(DISTINCT review_id) AS ids
-        FROM ({_GOOGLE} UNION ALL {_APPLE}) GROUP BY 1, 2, 3""",
+               count(DISTINCT review_id) AS ids,
+               min(ingest_seq + before) AS first_seq, max(ingest_seq + before) AS last_seq
+        FROM (SELECT *, CAST(0 AS BIGINT) AS before FROM ({_GOOGLE}) UNION ALL
+              SELECT *, (SELECT max(event_id) + 1 FROM events) AS before FROM ({_APPLE}))
+        GROUP BY 1, 2, 3""",
     "validate_flags": query(
         f"SELECT ingest_seq, review_id, {_FLAGS}, dropped FROM flagged", "flagged"),
     "validated_reviews": query(

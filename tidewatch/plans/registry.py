@@ -20,6 +20,10 @@ from tidewatch.plans import derived
 from tidewatch.plans.lineage import cut_lineage
 from tidewatch.schemas import REVIEW, SEQ
 from tidewatch.sources.native import (
+    APP_STORE,
+    GOOGLE_PLAY,
+    Source,
+    stack_sources,
     standardize_app_store,
     standardize_google_play,
 )
@@ -53,12 +57,17 @@ def app_store(spark, folder):
 
 
 def stacked(spark, folder):
-    return (google_play(spark, folder).unionByName(app_store(spark, folder))
+    sources = [Source(GOOGLE_PLAY, derived.APP_ID, derived.APP_NAME,
+                      native=derived.google_play_native(spark, folder)),
+               Source(APP_STORE, derived.STORE_APP_ID, derived.APP_NAME,
+                      native=derived.app_store_native(spark, folder))]
+    return (stack_sources(spark, sources)
             .groupBy("source_platform", "app_id", "rating")
             .agg(F.count(F.lit(1)).alias("reviews"),
                  F.count("review_date").alias("dated"),
                  F.count("app_version").alias("versioned"),
-                 F.count_distinct("review_id").alias("ids")))
+                 F.count_distinct("review_id").alias("ids"),
+                 F.min(SEQ).alias("first_seq"), F.max(SEQ).alias("last_seq")))
 
 
 def flags(spark, folder):

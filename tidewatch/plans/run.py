@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.operators.clean import build_cleaned, cleaning_report
 from tidewatch.operators.forecast import backtest, predict_rating_risk, warning_count
@@ -14,8 +15,9 @@ from tidewatch.operators.issues import extract_issues
 from tidewatch.operators.risk import score_issues
 from tidewatch.operators.trends import build_issue_trends
 from tidewatch.params import Params
-from tidewatch.schemas import TABLES
-from tidewatch.sources.native import Source, read_native, stack_sources
+from tidewatch.plans.lineage import write_table
+from tidewatch.schemas import SEQ, TABLES
+from tidewatch.sources.native import Source, read_numbered, stack_sources
 from tidewatch.sources.store import ReviewStore
 
 
@@ -31,16 +33,22 @@ class RunSummary:
 
 def ingest(spark: SparkSession, sources: Iterable[Source],
            store: ReviewStore | None = None) -> DataFrame:
-    """Standard reviews of all sources; with a store the native records are kept too."""
+    """Standard reviews of all sources; with a store the native records are kept too.
+
+    What is kept is also what is standardized: a source is not read again after its records,
+    with their numbers, are in the store.
+    """
     sources = list(sources)
     if store is not None:
         loaded = []
         for s in sources:
             native = s.native
             if native is None:
-                native = read_native(spark, s.path, s.platform, s.multi_line)
-            store.save_raw(s, native)
-            loaded.append(replace(s, native=native))
+                native = read_numbered(spark, s.path, s.platform, s.multi_line)
+            elif SEQ not in native.columns:
+                native = native.withColumn(SEQ, F.monotonically_increasing_id())
+            kept = store.save_raw(s, native)
+            loaded.append(replace(s, native=spark.read.schema(native.schema).json(kept)))
         sources = loaded
     return stack_sources(spark, sources)
 
@@ -48,10 +56,11 @@ def ingest(spark: SparkSession, sources: Iterable[Source],
 def run(std: DataFrame, store: ReviewStore, params: Params = Params()) -> RunSummary:
     """Run every stage and replace every table.
 
-    Each table is written once and the next stages read it back from the store, so a
-    lost executor never replays an earlier stage and nothing is kept in memory between
-    stages.
+    The input is evaluated once, into a table of its rows with their numbers. Each table is
+    written once and the next stages read it back from the store, so a lost executor never
+    replays an earlier stage and nothing is kept in memory between stages.
     """
+    std = write_table(std)
     store.replace("raw_reviews", std)
     store.replace("cleaned_reviews", build_cleaned(std))
     cleaned = store.read("cleaned_reviews")
