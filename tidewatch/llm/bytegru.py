@@ -61,15 +61,19 @@ def run_direction(p: dict, d: str, data: np.ndarray, active: np.ndarray, keep: l
         if not m:
             continue
         old = state[:m]
-        x = table[data[:m, t]]
+        x = table.take(data[:m, t], axis=0)
         g = old @ re
         gates = _sigmoid(x[:, :2 * h] + g[:, :2 * h])
         z, r = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h:] + r * g[:, 2 * h:])
+        new = r * g[:, 2 * h:]
+        new += x[:, 2 * h:]
+        np.tanh(new, out=new)
         if keep is not None:
             keep.append((t, m, old.copy(), z, r, new, g[:, 2 * h:]))
-        state[:m] = new + z * (old - new)
-        states[t, :m] = state[:m]
+        step = old - new
+        step *= z
+        np.add(new, step, out=states[t, :m])
+        state[:m] = states[t, :m]
     return states
 
 
@@ -79,8 +83,12 @@ def position_logits(p: dict, forward: np.ndarray, backward: np.ndarray) -> np.nd
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+    """Over the last axis, which is short: it is moved to the front for whole-array steps."""
+    x = np.ascontiguousarray(np.moveaxis(x, -1, 0))
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return np.moveaxis(x, 0, -1)
 
 
 def label_positions(p: dict, data: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -101,7 +109,7 @@ def gradient(p: dict, data: np.ndarray, length: np.ndarray, label: np.ndarray):
     total = float(inside.sum())
     own = np.take_along_axis(prob, np.broadcast_to(label[None, :, None], (size, n, 1)), 2)[..., 0]
     loss = float(-(np.log(own + 1e-12) * inside).sum() / total)
-    err = prob
+    err = np.ascontiguousarray(prob)
     np.put_along_axis(err, np.broadcast_to(label[None, :, None], (size, n, 1)),
                       (own - 1)[..., None], 2)
     err *= inside[..., None] / total

@@ -18,8 +18,8 @@ from tidewatch.llm import bytegru, textvec
 from tidewatch.llm.common import cut_lineage
 
 SIZE, HIDDEN = 64, 12
-# Bounds on the sample that is learned from: rows of a language, windows of a row.
-MAX_ROWS, ROW_WINDOWS = 1000, 4
+# Bounds on the sample that is learned from: languages, rows of a language, windows of a row.
+MAX_LABELS, MAX_ROWS, ROW_WINDOWS = 1000, 1000, 4
 SHARD_ROWS, MAX_SHARDS, ROUNDS, STEPS, BATCH, RATE = 500, 8, 8, 40, 64, 0.02
 TOGETHER = 2048  # windows labelled at a time
 UNKNOWN = "und"
@@ -29,19 +29,21 @@ def held_out() -> Column:
     return F.expr("crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 5 = 0")
 
 
-def training_windows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """lang, shard, windows: evenly spaced windows of the sampled rows that may be learned from.
+def training_windows(docs: DataFrame, max_rows: int = MAX_ROWS,
+                     max_labels: int = MAX_LABELS) -> DataFrame:
+    """lang, at, n, windows: evenly spaced windows of the sampled rows that may be learned from.
 
-    Of every language the `max_rows` rows of least hash, or all. Null and empty texts and
-    null languages are left out; so is a null doc_id, which counts as held out.
+    Of each of the `max_labels` most frequent languages the `max_rows` rows of least hash, or
+    all. Null and empty texts and null languages are left out; so is a null doc_id, which
+    counts as held out. Texts are cut to windows where they are read; only those move.
     """
     rows = (docs.select("doc_id", "text", "lang").filter(~held_out())
             .filter("lang IS NOT NULL AND length(text) > 0"))
-    counts = rows.groupBy("lang").count().withColumn(
-        "share", F.lit(1.5 * max_rows + 50) / F.col("count"))
-    at = F.xxhash64("doc_id", F.substring("text", 1, 200))
-    part = (rows.join(counts, "lang").withColumn("at", at)
-            .filter(F.pmod("at", F.lit(1 << 20)) <= F.col("share") * (1 << 20))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels)
+    share = F.lit(1.5 * max_rows + 50) / F.col("count")
+    part = (rows.withColumn("at", F.xxhash64("doc_id", F.substring("text", 1, 200)))
+            .join(F.broadcast(counts), "lang")  # at most max_labels rows
+            .filter(F.pmod("at", F.lit(1 << 20)) <= share * (1 << 20))
             .select("lang", "at", "text"))
 
     def cut(batches):
@@ -61,9 +63,9 @@ def training_windows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def _learner(shared, labels: list[str], rate: float, seed: int):
-    """A function that learns from one shard, beginning with the shared weights."""
+    """A function that learns from each shard in a partition, beginning with the shared weights."""
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
+    def learn(part: pd.DataFrame) -> tuple[int, bytes]:
         p = {k: v.copy() for k, v in shared.value.items()}
         part = part.sort_values(["lang", "at", "n"], kind="stable")
         texts = [bytes(w) for ws in part["windows"] for w in ws]
@@ -74,9 +76,15 @@ def _learner(shared, labels: list[str], rate: float, seed: int):
         for k in range(passes):
             bytegru.adam(p, data, length, known[row], BATCH, rate, seed + k)
         packed = np.concatenate([p[k].ravel() for k in bytegru.PARTS]).astype(np.float32)
-        return pd.DataFrame([(int(part["shard"].iloc[0]), packed.tobytes())], columns=["shard", "w"])
+        return int(part["shard"].iloc[0]), packed.tobytes()
 
-    return learn
+    def learn_all(frames):
+        rows = [f for f in frames if len(f)]
+        if rows:  # a shard is in one partition; a partition has few shards, mostly one
+            done = [learn(part) for _, part in pd.concat(rows).groupby("shard")]
+            yield pd.DataFrame(done, columns=["shard", "w"])
+
+    return learn_all
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> tuple[list[str], dict]:
@@ -87,12 +95,14 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> tupl
     if not labels:
         return [], {}
     shards = min(MAX_SHARDS, max(1, rows.count() // SHARD_ROWS))
-    # Every language is dealt over the shards in turn.
-    rows = cut_lineage(rows.withColumn("shard", (F.col("n") % shards).cast("int")))
+    # Every language is dealt over the shards in turn. Shards are placed by range, so that
+    # each gets a task: by hash some tasks would get several and some none.
+    rows = (cut_lineage(rows.withColumn("shard", (F.col("n") % shards).cast("int")))
+            .repartitionByRange(shards, "shard"))
     p = bytegru.initial(HIDDEN, len(labels))
     for r in range(rounds):
         learn = _learner(context.broadcast(p), labels, RATE * (1 - r / rounds), 1000 * r)
-        states = sorted(rows.groupBy("shard").applyInPandas(learn, "shard int, w binary").collect())
+        states = sorted(rows.mapInPandas(learn, "shard int, w binary").collect())
         mean = np.mean([np.frombuffer(s.w, np.float32) for s in states], axis=0, dtype=float)
         cuts = np.cumsum([p[k].size for k in bytegru.PARTS])[:-1]
         p = {k: w.reshape(p[k].shape).astype(np.float32)
