@@ -16,8 +16,18 @@ STORE_APP_ID = "123456789"
 APP_NAME = "Example App"
 
 
+# A table of less than this per core is read in too few tasks: a row group is one task.
+SMALL_PER_CORE = 16 << 20
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A source table; one too small for all cores is dealt out by its first column."""
+    file = f"{folder}/{table}.parquet"
+    rows = spark.read.parquet(file)
+    cores = spark.sparkContext.defaultParallelism
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return rows.repartition(cores, rows.columns[0]) if size < cores * SMALL_PER_CORE else rows
 
 
 _RATING = "CAST(1 + least(4, floor(value / 25)) AS INT)"

@@ -92,20 +92,34 @@ PREDICTION = _schema("""
     explanation string""")
 
 
+ISSUE_COUNTS = _schema("""
+    date date, issue_id string, mention_count bigint, rating_sum bigint,
+    rated_count bigint, negative_count bigint""")
+
+
 @dataclass(frozen=True)
 class Table:
+    """A stored table; with `month_of`, the date whose month names the folder of a row."""
+
     schema: StructType
     key: tuple[str, ...] = ()
+    month_column: str | None = None
+    month_of: str | None = None
 
 
 TABLES: dict[str, Table] = {
-    "raw_reviews": Table(REVIEW),
-    "cleaned_reviews": Table(CLEANED, ("review_id",)),
+    "raw_reviews": Table(REVIEW, (), "stored_month", "review_date"),
+    "cleaned_reviews": Table(CLEANED, ("review_id",), "review_month", "review_date"),
     "review_issues": Table(ISSUES, ("review_id",)),
-    "issue_trends": Table(TRENDS, ("issue_id", "date")),
+    "issue_trends": Table(TRENDS, ("issue_id", "date"), "stored_month", "date"),
     "issue_summary": Table(SUMMARY, ("issue_id",)),
     "issue_impact": Table(IMPACT, ("issue_id",)),
     "issue_prediction": Table(PREDICTION, ("issue_id",)),
 }
 
+# Counts that streaming keeps to bring the series up to date; not part of a run's result.
+STREAM_TABLES: dict[str, Table] = {
+    "issue_counts": Table(ISSUE_COUNTS, ("date", "issue_id"), "stored_month", "date"),
+}
+
 ANALYTICAL_TABLES: tuple[str, ...] = tuple(t for t in TABLES if t != "raw_reviews")
