@@ -60,7 +60,7 @@ def issue_grid(issue_periods: DataFrame, totals: DataFrame) -> DataFrame:
         JOIN {{totals}} USING (date)""", totals=totals, periods=issue_periods)
 
 
-def _series_metrics(grid: DataFrame, p: TrendParams) -> DataFrame:
+def series_metrics(grid: DataFrame, p: TrendParams) -> DataFrame:
     """Share based metrics of a dense series; rows count as time steps."""
     full = f"count(issue_share) OVER past >= {p.min_baseline}"
     stepped = sql(
@@ -109,7 +109,7 @@ def build_issue_trends(cleaned: DataFrame, assignments: DataFrame,
                average_rating, negative_share
         FROM {cells} LEFT JOIN {stats} USING (issue_id, date)""",
         cells=issue_grid(stats, totals), stats=stats)
-    return _series_metrics(grid, params).select(*TRENDS.fieldNames())
+    return series_metrics(grid, params).select(*TRENDS.fieldNames())
 
 
 def anomaly_points(trends: DataFrame, issue_ids: list[str] | None = None) -> DataFrame:

@@ -30,12 +30,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return rows.repartition(cores, rows.columns[0]) if size < cores * SMALL_PER_CORE else rows
 
 
+def stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A source table as a stream of its files.
+
+    The path is a pattern, which may name one file; a plain path must be a folder.
+    """
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
+
+
 _RATING = "CAST(1 + least(4, floor(value / 25)) AS INT)"
 
 
-def event_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def event_reviews(spark: SparkSession, folder: str, source=read) -> DataFrame:
     """Clean reviews: one per event."""
-    return read(spark, folder, "events").selectExpr(
+    return source(spark, folder, "events").selectExpr(
         "concat('ev_', event_id) AS review_id",
         "concat_ws(' ', event_type, props) AS review_text",
         f"{_RATING} AS rating",
@@ -50,24 +59,33 @@ def event_reviews(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", "event_type")
 
 
+_ISSUE = """CASE
+    WHEN event_type = 'error' AND event_id % 31 >= dayofmonth(review_date) THEN 'other'
+    WHEN event_type = 'signup' AND NOT (dayofmonth(review_date) BETWEEN 20 AND 22
+         OR event_id % 4 = 0) THEN 'other'
+    ELSE event_type END"""
+
+
 def event_assignments(reviews: DataFrame) -> DataFrame:
     """An issue for every complaint (rating 1 to 3).
 
     `error` rises day by day and `signup` spikes on three days; the complaints that make
     room for these shapes go to `other`.
     """
-    return reviews.selectExpr("review_id", "rating", """CASE
-        WHEN event_type = 'error' AND event_id % 31 >= dayofmonth(review_date) THEN 'other'
-        WHEN event_type = 'signup' AND NOT (dayofmonth(review_date) BETWEEN 20 AND 22
-             OR event_id % 4 = 0) THEN 'other'
-        ELSE event_type END AS name""").filter("rating <= 3").selectExpr(
-        "review_id", "concat('issue_', name) AS issue_id",
-        "concat(name, ' problem') AS issue_label")
+    return reviews.selectExpr("review_id", "rating", f"{_ISSUE} AS name").filter(
+        "rating <= 3").selectExpr("review_id", "concat('issue_', name) AS issue_id",
+                                  "concat(name, ' problem') AS issue_label")
+
+
+def assigned_reviews(reviews: DataFrame) -> DataFrame:
+    """All reviews, complaints with their issue: the same issues as `event_assignments`."""
+    return reviews.selectExpr(
+        "review_date", "rating", f"CASE WHEN rating <= 3 THEN concat('issue_', {_ISSUE}) END AS issue_id")
 
 
-def dirty_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def dirty_reviews(spark: SparkSession, folder: str, source=read) -> DataFrame:
     """Standard reviews with every kind of defect, then second copies of some rows."""
-    broken = event_reviews(spark, folder).selectExpr(
+    broken = event_reviews(spark, folder, source).selectExpr(
         "CASE WHEN event_id % 71 <> 0 THEN review_id END AS review_id",
         "if(event_id % 73 = 0, '   ', review_text) AS review_text",
         "if(event_id % 97 = 0, 9, rating) AS rating",

@@ -631,6 +631,8 @@ ORACLE_SQL: dict[str, str] = {
         "stats_day"),
     "issue_trends_daily": query(f"SELECT {_TREND_COLUMNS} FROM trends_day", "trends_day"),
     "issue_trends_weekly": query(f"SELECT {_TREND_COLUMNS} FROM trends_week", "trends_week"),
+    "streamed_issue_trends": query(
+        f"SELECT {_TREND_COLUMNS} FROM trends_week", "trends_week"),
     "anomalies": query(
         f"SELECT {_TREND_COLUMNS} FROM trends_day WHERE anomaly_flag", "trends_day"),
     "issue_summary": query("SELECT * FROM summary", "summary"),
@@ -792,3 +794,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM impact""", "impact"),
     "as_of_date": query("SELECT max(date) AS as_of_date FROM totals_day", "totals_day"),
 }
+# A stream ends with the table that one batch of its rows gives.
+ORACLE_SQL["streamed_reviews"] = ORACLE_SQL["cleaned_features"]

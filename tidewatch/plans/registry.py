@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
@@ -17,7 +18,7 @@ from tidewatch.operators import trends, validate, views
 from tidewatch.operators.cluster import cluster_vectors
 from tidewatch.params import ForecastParams, ImpactParams, TextParams, TrendParams
 from tidewatch.plans import derived
-from tidewatch.plans.lineage import cut_lineage
+from tidewatch.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from tidewatch.schemas import REVIEW, SEQ
 from tidewatch.sources.native import (
     APP_STORE,
@@ -27,6 +28,9 @@ from tidewatch.sources.native import (
     standardize_app_store,
     standardize_google_play,
 )
+from tidewatch.sources.store import ReviewStore
+from tidewatch.streaming.counts import trends_stream
+from tidewatch.streaming.ingest import ingest_stream
 
 # The events span thirty days, so daily periods give the longest series.
 DAILY = TrendParams(freq="D")
@@ -377,6 +381,31 @@ def as_of(spark, folder):
     return trends.as_of_date(_trends(spark, folder))
 
 
+# --- streams -------------------------------------------------------------------------
+
+def _new_store(spark):
+    """A store of its own in the shared folder, and a folder for the state of a stream."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return ReviewStore(spark, f"{folder}/store"), f"{folder}/state"
+
+
+def streamed_reviews(spark, folder):
+    """The cleaned table after the reviews have come as a stream."""
+    store, state = _new_store(spark)
+    reviews = derived.dirty_reviews(spark, folder, derived.stream)
+    ingest_stream(reviews, store, "reviews", state).awaitTermination()
+    return store.read("cleaned_reviews")
+
+
+def streamed_trends(spark, folder):
+    """The weekly series after the assigned reviews have come as a stream."""
+    store, state = _new_store(spark)
+    reviews = derived.event_reviews(spark, folder, derived.stream)
+    trends_stream(derived.assigned_reviews(reviews), store, "trends", state, WEEKLY).awaitTermination()
+    return rounded(store.read("issue_trends"))
+
+
 QUERIES: dict[str, Query] = {
     "standardize_google_play": google_play,
     "standardize_app_store": app_store,
@@ -391,6 +420,8 @@ QUERIES: dict[str, Query] = {
     "issue_period_agg": period_stats,
     "issue_trends_daily": partial(issue_trends, params=DAILY),
     "issue_trends_weekly": partial(issue_trends, params=WEEKLY),
+    "streamed_reviews": streamed_reviews,
+    "streamed_issue_trends": streamed_trends,
     "anomalies": anomalies,
     "issue_summary": issue_summary,
     "risk_scores": risk_scores,
