@@ -7,7 +7,10 @@ from collections import Counter, defaultdict
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that an operator might use for itself.
 EXTRA = ("key", "size", "bucket", "group", "h", "node", "root", "start", "slot", "shard", "model",
-         "target", "taken", "block", "n_words", "score", "verdict", "row", "class_id")
+         "target", "taken", "block", "n_words", "score", "verdict", "row", "class_id", "key_",
+         "key__", "k_", "d_", "m_", "s_", "copies_", "copy_", "id_", "row_", "mark", "removed",
+         "key_here", "id_kept", "key_kept", "nth", "other", "record", "hits__", "n_words__",
+         "items__", "n_hit__", "same", "part", "parts", "order_key", "virtual_slot", "with.dot")
 
 
 def words(seed, n, vocabulary=400):
@@ -39,7 +42,7 @@ def frame(spark, rows, extra=True):
     """The rows as documents, with clashing extra columns of several types."""
     if not extra:
         return spark.createDataFrame(rows, DOCS)
-    ddl = DOCS + "".join(f", {c} {'string' if i % 2 else 'int'}" for i, c in enumerate(EXTRA))
+    ddl = DOCS + "".join(f", `{c}` {'string' if i % 2 else 'int'}" for i, c in enumerate(EXTRA))
     more = tuple(None if i % 3 == 0 else ("x" if i % 2 else 7) for i in range(len(EXTRA)))
     return spark.createDataFrame([(*r, *more) for r in rows], ddl)
 

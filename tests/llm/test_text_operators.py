@@ -96,6 +96,40 @@ def test_near_duplicates_of_odd_rows(spark):
     assert bagminhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_the_row_that_stays_does_not_depend_on_the_layout(spark):
+    """Rows equal in id and text but not in other columns: one stays, always the same."""
+    text = sentence(3, 40)
+    rows = [(1, text, lang, source, n) for n in (3, 1) for lang in ("fr", "en", None) for source in ("b", "a")]
+    docs = frame(spark, rows + plain_rows(5)[1:])
+    kept = [sorted(map(tuple, bagminhash.one_per_class(docs.repartition(k)).collect()), key=repr) for k in (1, 3, 8)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 4
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    class OneHash:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return F.lit(5).cast("long") if len(columns) == 1 else F.xxhash64(*columns)
+
+    monkeypatch.setattr(bagminhash, "F", OneHash())
+    texts = ["one", "two", "one", "three"]
+    got = bagminhash.keyed(spark.createDataFrame(enumerate(texts), "doc_id int, text string")).collect()
+    assert len(got) == 4 and len({r.key for r in got}) == 3
+    assert len({(r.key, r.text) for r in got}) == 3 and got[0].asDict().keys() == {"doc_id", "text", "key"}
+
+
+def test_lines_of_rows_without_an_id_of_their_own_are_dropped(spark):
+    rows = [(None, "line one here\nother text", "en", "s", 0), (None, "line one here\nmore of it", "en", "s", 0),
+            (5, "line one here", "en", "s", 0), (5, "last line\nline one here", "en", "s", 0)]
+    docs = frame(spark, rows)
+    got = fuzzylines.drop_lines(docs, fuzzylines.deduplicate_lines(docs))
+    assert got.columns == docs.columns and got.count() == 4
+    lines = Counter(x for r in got.collect() for x in r.text.split("\n"))
+    assert lines["line one here"] == 1 and lines["other text"] == lines["more of it"] == lines["last line"] == 1
+
+
 def test_classes_without_ids_of_their_own(spark):
     """Null and repeated ids name no class; each class keeps one document."""
     rows = [(None, sentence(50 + k, 40), "en", "s", 0) for k in range(6)]

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import textvec
 from tidewatch.llm.candidates import bloom, classes, may_contain, open_buckets
-from tidewatch.llm.common import cut_lineage
+from tidewatch.llm.common import cut_lineage, packed
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -159,6 +159,24 @@ def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Add `key`, a 64-bit name of each text that different texts do not share.
+
+    Texts whose 64-bit hash is equal are told apart by another one; those that differ in it
+    are named by that. So texts count as equal by 128 bits.
+    """
+    other = F.xxhash64(F.lit(7), "text")
+    both = rows.withColumns({"key": F.xxhash64("text"), "other": other})
+    shared = (both.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+              .filter("lo <> hi").select("key", F.lit(True).alias("again")))
+    shared = cut_lineage(shared)  # one row in about 10^20 / n^2 runs over n texts
+    if shared.isEmpty():
+        return both.drop("other")
+    return (both.join(shared, "key", "left")
+            .withColumn("key", F.when(F.col("again"), F.xxhash64(F.lit(11), "other", "key"))
+                        .otherwise(F.col("key"))).drop("other", "again"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key, root, class_id, class_size of every document.
 
@@ -169,8 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are in a class with equal texts only. Null ids are never the class_id unless the class has
     no other. Repeated rows are in the same class and count. Other columns are not read.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) \
-        .withColumn("key", F.xxhash64("text"))
+    texts = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     opened = cut_lineage(open_buckets(members(texts)))
     likely = members(texts, bloom(opened, "bucket"))
     inside = cut_lineage(likely.join(opened, "bucket", "left_semi").distinct())
@@ -191,13 +208,17 @@ def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that with the least doc_id, with all its columns.
 
     Of equal ids that with the least text hash stays, a null id only in a class without
-    others. Of repeated rows with that id and text one stays.
+    others. Of rows equal in id and text the first stays, by all columns as JSON, so that
+    reruns agree.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     keep = (near_duplicates(docs, threshold).groupBy("root").agg(F.min(order).alias("first"))
             .select(F.col("first.doc_id").alias("id_kept"), F.col("first.key").alias("key_kept")))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return (docs.withColumn("key_here", key)
+    rows = keyed(packed(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    # Ranked within each task before the shuffle: a repeated row is one row after it.
+    order = Window.partitionBy("doc_id", "key").orderBy(F.to_json("record"))
+    return (rows.select("doc_id", "key", "record")
             .join(keep, F.col("doc_id").eqNullSafe(F.col("id_kept"))
-                  & (F.col("key_here") == F.col("key_kept")), "left_semi")
-            .dropDuplicates(["doc_id", "key_here"]).select(*docs.columns))
+                  & (F.col("key") == F.col("key_kept")), "left_semi")
+            .withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+            .select("record.*"))

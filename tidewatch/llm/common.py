@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.lineage import ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "read", "row_key", "shared_folder",
-           "shuffle_parts"]
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "packed", "read", "row_key",
+           "shared_folder", "shuffle_parts"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -42,6 +42,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())])
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns and `record`, a struct of all columns of docs.
+
+    Helper columns can have any name beside it; `select("record.*")` gives the rows back.
+    """
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(*needed, every.alias("record"))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import cut_lineage
+from tidewatch.llm.common import cut_lineage, packed
 
 WINDOW = 10
 BLOCK_WINDOWS = 50_000
@@ -158,8 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit word, with all their columns."""
-    return (matches(docs, items, docs.columns, window)
-            .filter(F.size("hits__") == 0).select(*docs.columns))
+    return (matches(packed(docs, "text"), items, ["record"], window)
+            .filter(F.size("hits__") == 0).select("record.*"))
 
 
 CONTAMINATION_SQL = r"""

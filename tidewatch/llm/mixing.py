@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import cut_lineage, root_buckets, shuffle_parts
+from tidewatch.llm.common import cut_lineage, packed, root_buckets, shuffle_parts
 
 BLOCK_WORDS = 32
 SHARD_BLOCKS = 1024
@@ -209,9 +209,9 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
         (F.col("taken") / F.col("size") + (F.xxhash64(F.lit(seed), "doc_id", "mark").bitwiseAND(
             F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))).cast("int").alias("copies_")) \
         .groupBy("d_", "m_", "s_").agg(F.max("copies_").alias("copies_"))
-    return (docs.withColumn("k_", F.xxhash64("text"))
-            .join(shares, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("k_") == F.col("m_"))
+    return (packed(docs, "doc_id", "source", F.xxhash64("text").alias("mark"))
+            .join(shares, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("mark") == F.col("m_"))
                   & F.col("source").eqNullSafe(F.col("s_")))
             .filter("copies_ > 0")
             .withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
-            .select(*docs.columns))
+            .select("record.*"))

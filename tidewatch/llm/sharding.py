@@ -8,10 +8,14 @@ size depends on the parameter `n_slots` and never on the data.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.llm.common import cut_lineage, row_key, shared_folder
+
 N_SLOTS = 4096
 
 
@@ -104,6 +108,11 @@ def save_version(version: DataFrame, path: str) -> None:
     version.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
+def stored(spark, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_version(spark, path: str, version: int | None = None) -> DataFrame:
     """The named version of a stored map, the newest by default."""
     table = spark.read.parquet(path)
@@ -130,13 +139,32 @@ def place(records: DataFrame, mapping: DataFrame) -> DataFrame:
             .drop("first", "inside"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataFrame:
+def spread_repeats(records: DataFrame, n_slots: int) -> DataFrame:
+    """Add `part`: 0, or for rows equal in `same` that outgrow a slot one of several parts.
+
+    Equal rows that weigh more than the mean slot are dealt to as many parts as slots they
+    fill; they are interchangeable, so it does not matter which of them goes where. There
+    are fewer such groups than slots, whatever the number of rows.
+    """
+    groups = records.groupBy("same").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("rows"))
+    mean = F.lit(records.select(F.sum("size")).first()[0] or 0) / n_slots
+    heavy = groups.filter((F.col("weight") > mean) & (F.col("rows") > 1)).select(
+        "same", F.least(F.ceil(F.col("weight") / mean), F.col("rows")).alias("parts"))
+    nth = F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))
+    return records.join(F.broadcast(heavy), "same", "left").withColumn("part", nth).drop("parts")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
+                    path: str | None = None) -> DataFrame:
     """Shard of every document, with near equal bytes per shard.
 
     Size is the text's UTF-8 bytes plus 1, a null text counting as empty. The slot comes
-    from doc_id and text together, so repeated ids do not pile up in one slot; only rows
-    equal in both share it. Null ids and texts are values like any other. Repeated rows
-    are each placed. An empty table gives no rows. Other columns are not read.
+    from doc_id and text together, so repeated ids do not pile up in one slot; rows equal in
+    both share one until they outgrow it. The map from slots to shards is stored under
+    `path` (in the shared folder, if not given) and read back; where a map is stored
+    already, its next version is an edit of the newest one for the present loads. Null ids
+    and texts are values like any other. Repeated rows are each placed. An empty table
+    gives no rows. Other columns are not read.
 
     Returns doc_id, size, text_crc32 (of a null text: of the empty one), law, shard, slot
     (the position in the shard), grown_shard (null under this law), virtual_slot.
@@ -145,9 +173,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS)
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        virtual_slot(["doc_id", "text"], n_slots).alias("virtual_slot"),
+        row_key("doc_id", "text").alias("same"),
         F.struct("doc_id", F.xxhash64("text")).alias("order_key"))
-    mapping = first_map(slot_loads(records, n_slots), n_shards)
+    records = cut_lineage(spread_repeats(records, n_slots).withColumn(
+        "virtual_slot", virtual_slot(["same", "part"], n_slots)))
+    spark, loads = docs.sparkSession, slot_loads(records, n_slots)
+    if path is not None and stored(spark, path):
+        version = rebalance(load_version(spark, path), loads, n_shards)
+    else:
+        path = path or f"{shared_folder(spark)}/map-{uuid.uuid4().hex}"
+        version = first_map(loads, n_shards)
+    save_version(cut_lineage(version), path)
+    mapping = load_version(spark, path)
     return place(records, mapping).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

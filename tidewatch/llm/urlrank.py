@@ -81,8 +81,9 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING,
     """(host, trust, distrust) of every host that either reaches.
 
     `seeds`: (kind, host, seed), kind `trust` or `distrust`. Both walks are one table, so a
-    step is one join. A walk restarts with probability 1 - damping; what stands on hosts
-    without links is lost, which scales a walk but keeps its order. The number of steps
+    step is one join. A walk restarts with probability 1 - damping, and from hosts without
+    links always. These restarts only scale a walk, so they are left out of the steps, and
+    each walk is divided by its sum at the end: both have one scale. The number of steps
     follows from the tolerance: what is missing after k steps is at most damping^k.
     """
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
@@ -103,6 +104,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING,
         ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if step % CUT_EVERY == 0:
             ranks = cut_lineage(ranks)
+    sums = ranks.groupBy("kind").agg(F.sum("rank").alias("all_"))  # two rows
+    ranks = ranks.join(sums, "kind").withColumn("rank", F.col("rank") / F.col("all_"))
     value = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     return ranks.groupBy("host").agg(value("trust").alias("trust"),
                                      value("distrust").alias("distrust"))
