@@ -73,8 +73,8 @@ class TextParams:
     # General list; the review filler is always added.
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
     extra_stop_words: tuple[str, ...] = REVIEW_STOP_WORDS
-    # Number of slices a very frequent term is cut into in joins on the term.
-    term_salts: int = 8
+    # Joins cut terms with more rows than this into slices.
+    slice_rows: int = 100_000
 
 
 @dataclass(frozen=True)

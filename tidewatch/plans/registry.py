@@ -18,7 +18,7 @@ from tidewatch.operators import trends, validate, views
 from tidewatch.operators.cluster import cluster_vectors
 from tidewatch.params import ForecastParams, ImpactParams, TextParams, TrendParams
 from tidewatch.plans import derived
-from tidewatch.plans.lineage import cut_lineage, ensure_checkpoint_dir
+from tidewatch.plans.lineage import cut_lineage, ensure_checkpoint_dir, write_table
 from tidewatch.schemas import REVIEW, SEQ
 from tidewatch.sources.native import (
     APP_STORE,
@@ -294,7 +294,7 @@ def representatives(spark, folder):
     weights, members = _clusters(spark, folder)
     weights = cut_lineage(weights)  # read for the centres and again for the members
     return labels.representatives(
-        weights, members, labels.centroids(weights, members), TEXT)
+        weights, members, write_table(labels.centroids(weights, members)), TEXT)
 
 
 def cluster_stats(spark, folder):
