@@ -21,6 +21,7 @@ from tidewatch.llm.common import cut_lineage, packed
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+CHUNK_BYTES = 1 << 19  # texts whose signatures are made together
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -121,10 +122,8 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return out.view(np.int64)
 
 
-def members(texts: DataFrame, only: np.ndarray | None = None, bands: int = BANDS,
-            rows: int = ROWS) -> DataFrame:
-    """(bucket, key) for every band of every (key, text); those in the filter only, if given."""
-    shared = texts.sparkSession.sparkContext.broadcast(only)
+def banded(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, buckets): the band hashes of every (key, text) with words, made once."""
 
     def make(batches):
         for batch in batches:
@@ -132,16 +131,30 @@ def members(texts: DataFrame, only: np.ndarray | None = None, bands: int = BANDS
             _, first = np.unique(keys, return_index=True)
             part = batch.take(pa.array(np.sort(first)))
             keys, data = part.column("key").to_numpy(), textvec.as_bytes(part.column("text"))
-            for a, b in textvec.chunks(data):
+            for a, b in textvec.chunks(data, CHUNK_BYTES):
                 present, signature = signatures(*multisets(data[a:b]), b - a, bands * rows)
-                bucket = band_hashes(signature, bands, rows).ravel()
-                key = np.repeat(keys[a:b][present], bands)
-                if shared.value is not None:
-                    keep = may_contain(shared.value, bucket)
-                    bucket, key = bucket[keep], key[keep]
-                yield pa.RecordBatch.from_pydict({"bucket": bucket, "key": key})
+                bucket = pa.array(band_hashes(signature, bands, rows).ravel())
+                ends = pa.array(np.arange(0, len(bucket) + 1, bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[a:b][present]), pa.ListArray.from_arrays(ends, bucket)],
+                    names=["key", "buckets"])
 
-    return texts.select("key", "text").mapInArrow(make, "bucket long, key long")
+    return texts.select("key", "text").mapInArrow(make, "key long, buckets array<long>")
+
+
+def members_of(table: DataFrame, only: np.ndarray) -> DataFrame:
+    """(bucket, key) of the banded texts whose bucket may be in the filter."""
+    shared = table.sparkSession.sparkContext.broadcast(only)
+
+    def select(batches):
+        for batch in batches:
+            bucket = batch.column(1).flatten().to_numpy()
+            keep = may_contain(shared.value, bucket)
+            times = batch.column(1).value_lengths().to_numpy()
+            yield pa.RecordBatch.from_pydict({
+                "bucket": bucket[keep], "key": np.repeat(batch.column(0).to_numpy(), times)[keep]})
+
+    return table.mapInArrow(select, "bucket long, key long")
 
 
 def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,8 +201,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     no other. Repeated rows are in the same class and count. Other columns are not read.
     """
     texts = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    opened = cut_lineage(open_buckets(members(texts)))
-    likely = members(texts, bloom(opened, "bucket"))
+    table = cut_lineage(banded(texts))
+    opened = cut_lineage(open_buckets(table.select(F.explode("buckets").alias("bucket"), "key")))
+    likely = members_of(table, bloom(opened, "bucket"))
     inside = cut_lineage(likely.join(opened, "bucket", "left_semi").distinct())
     wanted = cut_lineage(inside.select("key").distinct())
     found = classes(inside, cut_lineage(texts_of(texts, wanted)), shingles, threshold)
