@@ -50,3 +50,12 @@ def test_stop_words_are_sparks_own(spark):
 
 def test_flagship(spark):
     assert entry_points.entry(spark).count() == 6
+
+
+def test_planted_issues_reach_every_level(spark):
+    levels = {r.issue_id: r.risk_level for r in QUERIES["rating_risk_tiers"](spark, FOLDER).collect()}
+    assert set(levels.values()) == {"LOW", "MEDIUM", "HIGH", "CRITICAL"}
+    assert QUERIES["warning_count_tiers"](spark, FOLDER).first()[0] == 2
+    assert len(QUERIES["risk_level_filter_tiers"](spark, FOLDER).collect()) == len(levels) - 2
+    rows = {r.issue_id: r for r in QUERIES["impact_table_tiers"](spark, FOLDER).collect()}
+    assert rows["issue_rare"].sample_size < 5 and len({r.confidence_level for r in rows.values()}) > 1

@@ -77,6 +77,21 @@ def event_assignments(reviews: DataFrame) -> DataFrame:
                                   "concat(name, ' problem') AS issue_label")
 
 
+def tier_assignments(reviews: DataFrame) -> DataFrame:
+    """Issues of every risk level: by the rating of their complaints and what is missing at the end.
+
+    On the last day the harmful issues are not mentioned, so their forecast lies above it.
+    """
+    return reviews.selectExpr("review_id", "rating", """CASE
+        WHEN event_id BETWEEN 10 AND 13 THEN 'rare'
+        WHEN dayofmonth(review_date) = 30 OR rating = 3 THEN 'other'
+        WHEN rating = 1 AND event_id % 100 >= 36 THEN 'crash'
+        WHEN rating = 1 THEN 'login'
+        WHEN event_id % 100 < 85 THEN 'slow' ELSE 'other' END AS name""").filter(
+        "rating <= 3").selectExpr("review_id", "concat('issue_', name) AS issue_id",
+                                  "concat(name, ' problem') AS issue_label")
+
+
 def assigned_reviews(reviews: DataFrame) -> DataFrame:
     """All reviews, complaints with their issue: the same issues as `event_assignments`."""
     return reviews.selectExpr(

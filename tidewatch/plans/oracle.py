@@ -108,6 +108,20 @@ def _series(name: str, unit: str) -> dict[str, tuple[str, tuple[str, ...]]]:
 
 _HEX = "CAST(1 + least(4, floor(value / 25)) AS INTEGER)"
 
+_ISSUE_CASE = """CASE
+    WHEN event_type = 'error' AND event_id % 31 >= day(review_date) THEN 'other'
+    WHEN event_type = 'signup' AND NOT (day(review_date) BETWEEN 20 AND 22
+    OR event_id % 4 = 0) THEN 'other'
+    ELSE event_type END"""
+# Issues that reach every risk level.
+_TIER_CASE = """CASE
+    WHEN event_id BETWEEN 10 AND 13 THEN 'rare'
+    WHEN day(review_date) = 30 OR rating = 3 THEN 'other'
+    WHEN rating = 1 AND event_id % 100 >= 36 THEN 'crash'
+    WHEN rating = 1 THEN 'login'
+    WHEN event_id % 100 < 85 THEN 'slow' ELSE 'other' END"""
+
+
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "reviews": (f"""
         SELECT 'ev_' || event_id AS review_id, event_id AS ingest_seq, {_HEX} AS rating,
@@ -121,13 +135,9 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
                  AS helpful_count,
                strftime(ts, '%Y-%m') AS review_month, event_id, event_type
         FROM events""", ()),
-    "assigned": ("""
+    "assigned": (f"""
         SELECT review_id, 'issue_' || name AS issue_id, name || ' problem' AS issue_label
-        FROM (SELECT review_id, rating, CASE
-                WHEN event_type = 'error' AND event_id % 31 >= day(review_date) THEN 'other'
-                WHEN event_type = 'signup' AND NOT (day(review_date) BETWEEN 20 AND 22
-                     OR event_id % 4 = 0) THEN 'other'
-                ELSE event_type END AS name FROM reviews)
+        FROM (SELECT review_id, rating, {_ISSUE_CASE} AS name FROM reviews)
         WHERE rating <= 3""", ("reviews",)),
     "dirty": ("""
         SELECT CASE WHEN event_id % 71 <> 0 THEN review_id END AS review_id,
@@ -796,3 +806,5 @@ ORACLE_SQL: dict[str, str] = {
 }
 # A stream ends with the table that one batch of its rows gives.
 ORACLE_SQL["streamed_reviews"] = ORACLE_SQL["cleaned_features"]
+for _name in ("impact_table", "rating_risk", "warning_count", "risk_level_filter"):
+    ORACLE_SQL[f"{_name}_tiers"] = ORACLE_SQL[_name].replace(_ISSUE_CASE, _TIER_CASE)

@@ -231,6 +231,32 @@ def warning_count(spark, folder):
     return forecast.warning_count(_prediction(spark, folder))
 
 
+# The same over issues that reach every level.
+
+def _tiers(spark, folder):
+    reviews = derived.event_reviews(spark, folder)
+    return reviews, derived.tier_assignments(reviews)
+
+
+def impact_tiers(spark, folder):
+    return impact.compute_issue_impact(*_tiers(spark, folder), IMPACT)
+
+
+def rating_risk_tiers(spark, folder):
+    series = cut_lineage(trends.build_issue_trends(*_tiers(spark, folder), DAILY))
+    return forecast.predict_rating_risk(
+        series, cut_lineage(impact_tiers(spark, folder)), DAILY_FORECAST)
+
+
+def warnings_of_tiers(spark, folder):
+    return forecast.warning_count(rating_risk_tiers(spark, folder))
+
+
+def filter_of_tiers(spark, folder):
+    df = views.risk_level_filter(rating_risk_tiers(spark, folder), ["LOW", "MEDIUM"])
+    return df.select("issue_id", "risk_level")
+
+
 # --- text ----------------------------------------------------------------------------
 
 def _documents(spark, folder):
@@ -438,6 +464,10 @@ QUERIES: dict[str, Query] = {
     "backtest_windows": backtest_windows,
     "backtest_report": backtest_report,
     "warning_count": warning_count,
+    "impact_table_tiers": impact_tiers,
+    "rating_risk_tiers": rating_risk_tiers,
+    "warning_count_tiers": warnings_of_tiers,
+    "risk_level_filter_tiers": filter_of_tiers,
     "complaint_filter": complaint_filter,
     "app_name_words": app_words,
     "tokens": tokens,
