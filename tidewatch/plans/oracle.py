@@ -808,3 +808,5 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["streamed_reviews"] = ORACLE_SQL["cleaned_features"]
 for _name in ("impact_table", "rating_risk", "warning_count", "risk_level_filter"):
     ORACLE_SQL[f"{_name}_tiers"] = ORACLE_SQL[_name].replace(_ISSUE_CASE, _TIER_CASE)
+ORACLE_SQL["impact_table_tiers"] = (
+    f"SELECT * EXCLUDE (diff_ci_low, diff_ci_high) FROM ({ORACLE_SQL['impact_table_tiers']})")

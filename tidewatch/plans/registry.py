@@ -238,14 +238,19 @@ def _tiers(spark, folder):
     return reviews, derived.tier_assignments(reviews)
 
 
-def impact_tiers(spark, folder):
+def _impact_tiers(spark, folder):
     return impact.compute_issue_impact(*_tiers(spark, folder), IMPACT)
 
 
+def impact_tiers(spark, folder):
+    """Without the interval: SQL has no t quantile for the few degrees of freedom of `rare`."""
+    return _impact_tiers(spark, folder).drop("diff_ci_low", "diff_ci_high")
+
+
 def rating_risk_tiers(spark, folder):
     series = cut_lineage(trends.build_issue_trends(*_tiers(spark, folder), DAILY))
     return forecast.predict_rating_risk(
-        series, cut_lineage(impact_tiers(spark, folder)), DAILY_FORECAST)
+        series, cut_lineage(_impact_tiers(spark, folder)), DAILY_FORECAST)
 
 
 def warnings_of_tiers(spark, folder):
