@@ -18,7 +18,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data"
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op12_hard_negatives", "op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op4_repeats", "op12_hard_negatives", "op13_ranked_search"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "benchmark", "embeddings"):

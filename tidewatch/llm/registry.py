@@ -13,7 +13,7 @@ from tidewatch.llm.negatives import NEGATIVES_SQL, hard_negatives
 from tidewatch.llm.quality import quality
 from tidewatch.llm.ranked import RANKED_SQL, ranked
 from tidewatch.llm.sharding import shard_documents
-from tidewatch.llm.suffixdedup import remove_repeats
+from tidewatch.llm.suffixdedup import REPEATS_SQL, remove_repeats
 from tidewatch.llm.toxicity import classify
 from tidewatch.llm.urlrank import judge, rule_table
 
@@ -87,6 +87,7 @@ QUERIES = {
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_repeats": REPEATS_SQL,
     "op10_decontamination": CONTAMINATION_SQL,
     "op12_hard_negatives": NEGATIVES_SQL,
     "op13_ranked_search": RANKED_SQL,

@@ -341,3 +341,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     done = (texts.groupBy("group").cogroup(marks.groupBy("group")).applyInPandas(cut, result))
     return (done.unionByName(rows.select("doc_id", "text").mapInArrow(split(False), result))
             .withColumn("doc_id", F.col("doc_id").cast(kind)))
+
+
+# The definition itself, over all substrings of LENGTH bytes as hexadecimal digits.
+REPEATS_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS w
+  FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+starts AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+marked AS (
+  SELECT rid, i, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 400, true) AS begins
+  FROM starts),
+runs AS (
+  SELECT rid, run, min(i) AS a, max(i) + 400 AS z
+  FROM (SELECT rid, i, count(*) FILTER (begins) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked)
+  GROUP BY ALL),
+before AS (
+  SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS free FROM runs),
+cut AS (
+  SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last,
+         string_agg(substr(h, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) AS kept
+  FROM before JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END))
+         AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
