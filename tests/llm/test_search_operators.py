@@ -18,10 +18,10 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data"
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op4_repeats", "op12_hard_negatives", "op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op4_repeats", "op8_url_filter", "op12_hard_negatives", "op13_ranked_search"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = registry.QUERIES[name](spark, FOLDER)
     cursor = con.execute(registry.ORACLE_SQL[name])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm.bagminhash import near_duplicates
 from tidewatch.llm.common import read
 from tidewatch.llm.decontaminate import CONTAMINATION_SQL, contamination
@@ -15,7 +17,7 @@ from tidewatch.llm.ranked import RANKED_SQL, ranked
 from tidewatch.llm.sharding import shard_documents
 from tidewatch.llm.suffixdedup import REPEATS_SQL, remove_repeats
 from tidewatch.llm.toxicity import classify
-from tidewatch.llm.urlrank import judge, rule_table
+from tidewatch.llm.urlrank import JUDGE_SQL, judge, rule_table
 
 
 def op1_quality(spark, folder):
@@ -48,7 +50,9 @@ def op7_toxicity(spark, folder):
 
 
 def op8_url_filter(spark, folder):
-    return judge(read(spark, folder, "pages"), rule_table(spark))
+    judged = judge(read(spark, folder, "pages"), rule_table(spark))
+    # The last digits of a sum depend on its order.
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op9_near_duplicates(spark, folder):
@@ -88,6 +92,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_repeats": REPEATS_SQL,
+    "op8_url_filter": JUDGE_SQL,
     "op10_decontamination": CONTAMINATION_SQL,
     "op12_hard_negatives": NEGATIVES_SQL,
     "op13_ranked_search": RANKED_SQL,

@@ -17,6 +17,7 @@ from tidewatch.llm.common import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, TOLERANCE, RATIO, CUT_EVERY = 0.7, 1e-3, 1.0, 6
+TIE = 1e-9  # walks that differ relatively by less are equal, however sums are ordered
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*https?://([^/"'?#>\s]+)"""
 
 # The rules of the registered query, as (rule, verdict).
@@ -116,8 +117,8 @@ def judge(pages: DataFrame, rules: DataFrame, ratio: float = RATIO) -> DataFrame
 
     A rule fits if the host is its host or below it and the path starts with its path; of
     several the longest counts, then the first in order. Pages without a rule get their
-    host's verdict: block if distrust > ratio x trust, else allow, also for hosts that
-    neither walk reaches and for urls without a host. Null markup has no links, repeated
+    host's verdict: block if distrust > ratio x trust, else allow, also where both are equal,
+    for hosts that neither walk reaches and for urls without a host. Null markup has no links, repeated
     rows are each judged, other columns are not read, empty tables give no rows.
     """
     parts = url_parts(pages.select("page_id", "url", "html"))
@@ -142,5 +143,61 @@ def judge(pages: DataFrame, rules: DataFrame, ratio: float = RATIO) -> DataFrame
             .withColumn("found", rule)
             .select("page_id", "host", "path", F.col("found.rule").alias("rule"),
                     F.coalesce(F.col("found.verdict"), F.when(
-                        F.col("distrust") > ratio * F.col("trust"), "block")
+                        F.col("distrust") > ratio * (1 + TIE) * F.col("trust"), "block")
                         .otherwise("allow")).alias("verdict"), "trust", "distrust"))
+
+
+# The same over the rules above. The rank after k steps is the sum of k + 1 terms, each of
+# which is the one before moved along the links, so a recursion over the terms suffices.
+JUDGE_SQL = f"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER () AS rid, page_id, html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+u AS (
+  SELECT rid, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM p),
+rules(rule, said) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in RULES)}),
+fit AS (
+  SELECT rid, rule, said FROM u JOIN rules
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+     AND starts_with(path, substr(rule, instr(rule, '/')))
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, rule) = 1),
+above AS (
+  SELECT src, dst FROM (SELECT DISTINCT host AS src, substr(host, instr(host, '.') + 1) AS dst FROM u)
+  WHERE instr(dst, '.') > 0),
+links AS (
+  SELECT src, dst, count(*)::DOUBLE AS weight FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1)),
+                                  '{UPPER}', '{LOWER}') AS dst FROM u WHERE host <> ''
+    UNION ALL SELECT src, dst FROM above UNION ALL SELECT dst, src FROM above)
+  WHERE src <> dst GROUP BY ALL),
+edges AS (
+  SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share
+  FROM (SELECT 'trust' AS kind, src, dst, weight FROM links
+        UNION ALL SELECT 'distrust', dst, src, weight FROM links)),
+seeds AS (
+  SELECT CASE WHEN said = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host,
+         count(*) / sum(count(*)) OVER (PARTITION BY host) AS seed
+  FROM u JOIN fit USING (rid) GROUP BY host, said),
+start AS (SELECT kind, host, seed / sum(seed) OVER (PARTITION BY kind) AS rank FROM seeds),
+walk AS (
+  SELECT 0 AS step, kind, host, rank FROM start
+  UNION ALL
+  SELECT step + 1, walk.kind, dst, sum(rank * share) * {DAMPING} FROM walk JOIN edges
+  ON walk.kind = edges.kind AND host = src
+  WHERE step < {math.ceil(math.log(TOLERANCE) / math.log(DAMPING))} GROUP BY step, walk.kind, dst),
+ranks AS (
+  SELECT kind, host, sum(rank) / sum(sum(rank)) OVER (PARTITION BY kind) AS rank
+  FROM walk GROUP BY kind, host),
+of_host AS (
+  SELECT host, sum(rank) FILTER (kind = 'trust') AS trust, sum(rank) FILTER (kind = 'distrust') AS distrust
+  FROM ranks GROUP BY host),
+known AS (
+  SELECT u.*, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM u LEFT JOIN of_host USING (host))
+SELECT page_id, host, path, rule,
+       coalesce(said, CASE WHEN distrust > {RATIO * (1 + TIE)!r} * trust THEN 'block' ELSE 'allow' END) AS verdict,
+       round(trust, 9) AS trust, round(distrust, 9) AS distrust
+FROM known LEFT JOIN fit USING (rid)
+"""
