@@ -116,7 +116,10 @@ def level_rank(column: str = "risk_level") -> str:
 
 
 def _explanation(horizon: str, p: ForecastParams) -> dict[str, str]:
-    """Reason code and text; `lead` is the shared beginning without its first letter."""
+    """Reason code and text; `lead` is the shared beginning without its first letter.
+
+    Fixed values: the codes and the wording of the texts.
+    """
     lead = f"concat('ssue share is ', {percent('current_share', 1)}, ' and ', current_trend)"
     growth = signed_percent("recent_growth", 0)
     unknown = ("concat('I', lead, ', but there is no reliable historical rating "

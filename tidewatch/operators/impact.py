@@ -31,6 +31,7 @@ IMPACT_DIGITS = {
     "regression_ci_low": 3, "regression_ci_high": 3, "regression_p": 5,
 }
 
+# Texts of the results.
 NO_TEST = "sample too small for a meaningful test"
 WELCH_REASON = ("large samples, normality not rejected -> Welch's t-test "
                 "(unequal variance)")
@@ -323,6 +324,7 @@ def regress(cells: DataFrame, groups: DataFrame,
 
 
 def interpretation() -> str:
+    # The texts.
     return (
         "CASE WHEN reliable AND effect IS NOT NULL THEN concat('Reviews mentioning this "
         "issue are historically associated with approximately ', "

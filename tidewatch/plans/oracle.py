@@ -6,12 +6,17 @@ cross-joined grids), not from the Spark plans.
 
 from __future__ import annotations
 
-from tidewatch.functions.stats import normal_quantile, t_expansion_terms, t_table
-from tidewatch.operators.impact import NO_TEST, RANK_REASON
+from tidewatch.functions.stats import t_expansion_terms, t_table
 from tidewatch.operators.labels import PROBLEM_WORDS
 from tidewatch.params import ForecastParams, ImpactParams, TextParams, TrendParams
 from tidewatch.plans.derived import APP_ID, APP_NAME, STORE_APP_ID
 
+# The 97.5 % quantile of the normal distribution, and texts of the results.
+Z_975 = 1.959963984540054
+NO_TEST = "sample too small for a meaningful test"
+RANK_REASON = ("ordinal 1-5 ratings / non-normal or moderate n -> "
+               "Mann-Whitney U (rank-based)")
+
 TREND, IMPACT, FORECAST, TEXT = TrendParams(), ImpactParams(), ForecastParams(), TextParams()
 
 SPACE = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
@@ -326,8 +331,8 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM residual GROUP BY 1""", ("residual",)),
     "regression": (f"""
         SELECT issue AS issue_id, effect, se AS effect_se,
-               effect - {normal_quantile(1 - IMPACT.alpha / 2)!r} * se AS effect_low,
-               effect + {normal_quantile(1 - IMPACT.alpha / 2)!r} * se AS effect_high
+               effect - {Z_975} * se AS effect_low,
+               effect + {Z_975} * se AS effect_high
         FROM (SELECT r.issue, any_value(effect) AS effect,
                 sqrt(sum((d * (y - effect * d) / (1 - (1::DOUBLE / n + q + d * d / s))) ** 2))
                   / any_value(s) AS se
