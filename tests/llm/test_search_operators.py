@@ -129,6 +129,30 @@ def test_hard_negatives_by_force(spark, monkeypatch, n, sizes, tile):
     assert got == negatives_by_force(rows, 20, 5) and len(got) > 100
 
 
+def test_hard_negatives_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in v], i % 3) for i, v in enumerate(
+        rng.normal(size=(200, 6)) * 10.0 ** rng.integers(0, 7, (200, 1)))]
+    rows += [(1000, [3e5, 0.0, 1.0], 1), (1001, [1e-3, 0.5, 2.0], 1), (1002, [4e5, 1.0, 2.0], 2)]
+    whole = {i: [math.floor(256 * float(np.float32(x))) for x in v] + [0] * (6 - len(v)) for i, v, _ in rows}
+    label = {i: (lab + 1) % 10 if i % 7 == 0 else lab for i, _, lab in rows}
+    expected = []
+    for a in (i for i in whole if i % 20 == 0):
+        scored = sorted((-sum(x * y for x, y in zip(whole[a], whole[i])), i) for i in whole if i != a)
+        for p, i in [s for s in scored if label[s[1]] == label[a]][:5]:
+            held = [s for s in scored if label[s[1]] != label[a] and -80 * p <= -100 * s[0] <= -100 * p][:5]
+            expected += [(a, i, r, n, -p, -s) for r, (s, n) in enumerate(held, 1)]
+    table = spark.createDataFrame([(*r, 1, "x", None, 5) for r in rows], VECTORS)
+    got = sorted(map(tuple, negatives.hard_negatives(table, every=20).collect()))
+    assert got == sorted(expected) and max(r[4] for r in got) > 2 ** 53
+
+
+def test_scores_leave_no_64_bits():
+    big = np.array([[2 ** 62, 3, -2 ** 40], [2 ** 62, 2 ** 62, 0], [7, 1, 5]])
+    got = negatives.exact_scores(big, np.array([[1, 2 ** 61, 2 ** 20], [2, 2, 0], [1, 2, 3]]))
+    assert got.tolist() == [2 ** 63 - 1, 2 ** 63 - 1, 24]
+
+
 def test_hard_negatives_of_small_tables(spark):
     table = spark.createDataFrame([], VECTORS)
     assert negatives.hard_negatives(table).count() == 0
