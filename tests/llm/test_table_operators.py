@@ -270,6 +270,15 @@ def test_quality_keeps_a_language_with_few_trusted_rows(spark):
     assert sum(got[r[0]].accepted for r in rare) >= 0.9 * len(rare)
 
 
+def test_quality_fits_on_all_trusted_rows(spark):
+    good, bad, labels = quality_case(spark)
+    docs = frame(spark, good + bad)
+    others = spark.range(10 ** 9, 10 ** 9 + 400_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    result = lambda marks: {r.key: (pytest.approx(r.perplexity), pytest.approx(r.ceiling), r.accepted)
+                            for r in quality.quality(docs, marks).collect()}
+    assert result(labels) == result(labels.select("doc_id", "quality", "toxic").union(others))
+
+
 def test_quality_of_odd_rows(spark):
     good, _, labels = quality_case(spark)
     docs = frame(spark, good + odd_rows())

@@ -17,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.candidates import bloom, may_contain
 from tidewatch.llm.common import cut_lineage, packed, row_key
 
 ORDER = 4
-# Bound on the trusted rows of a fit; beyond it a sample by hash of doc_id is taken.
-MAX_TRUSTED = 200_000
 SHARD_ROWS = 1_000_000
 # Quantile of held-out trusted perplexity up to which documents stay.
 QUANTILE = 0.99
@@ -201,11 +200,28 @@ def perplexities(rows: DataFrame, scores: DataFrame, shard_rows: int = SHARD_ROW
         F.when(F.sum("chars") > 0, F.exp(-F.sum("total") / F.sum("chars"))).alias("perplexity"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
-            max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in a table of distinct ids, however many there are.
+
+    A bit table drops most other rows where they lie, so that only texts of these ids, and
+    the few others it lets pass, are shuffled to the exact join.
+    """
+    hashed = F.xxhash64(F.col("doc_id").cast("string")).alias("hash")
+    shared = rows.sparkSession.sparkContext.broadcast(bloom(ids.select(hashed), "hash"))
+
+    def likely(batches):
+        for batch in batches:
+            hit = may_contain(shared.value, batch.column("hash").to_numpy())
+            yield batch.filter(pa.array(hit))
+
+    named = rows.filter("doc_id IS NOT NULL").select("*", hashed)
+    return named.mapInArrow(likely, named.schema).drop("hash").join(ids, "doc_id")
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """key, doc_id, lang, perplexity, ceiling, accepted for every distinct row.
 
-    Trusted text is that of rows labelled quality 1. Rows with crc32(doc_id) mod 4 = 2 are
+    Trusted text is that of all rows labelled quality 1. Rows with crc32(doc_id) mod 4 = 2 are
     held out of the fit and set the ceilings. Texts without characters have no perplexity
     and are rejected. A language has a model and a ceiling of its own if at least
     1 / (1 - quantile) trusted rows are in its fit and as many held out; all others and a
@@ -214,19 +230,20 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     none at all every text with characters is accepted. Repeated rows count once here. Other
     columns are not read.
     """
-    trusted = (labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
-    share = max_trusted / max(1, trusted.count())
-    sample = trusted.filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    trusted = cut_lineage(
+        labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
     rows = docs.select("doc_id", "lang", "text")
-    known = rows.join(F.broadcast(sample), "doc_id").filter("text <> ''")
+    usable = rows.filter("text <> ''")
     least = int(np.ceil(1 / (1 - quantile) - 1e-9))
     number = lambda which: F.count_distinct(F.when(which, F.col("doc_id")))
-    languages = [r.lang for r in known.filter("lang IS NOT NULL").groupBy("lang").agg(
-        number(held_out()).alias("dev"), number(~held_out()).alias("fit"))
-        .filter(f"least(dev, fit) >= {least}").select("lang").collect()]
-    fit = cut_lineage(gram_counts(known.filter(~held_out()).filter("lang IS NOT NULL").select(
-        F.col("lang").alias("model"), "text")))
+    languages = [r.lang for r in usable.filter("lang IS NOT NULL").select("doc_id", "lang")
+                 .join(trusted, "doc_id").groupBy("lang").agg(
+                     number(held_out()).alias("dev"), number(~held_out()).alias("fit"))
+                 .filter(f"least(dev, fit) >= {least}").select("lang").collect()]
+    # The fitted texts are read once and the held-out ones, a quarter, three times.
+    fit = cut_lineage(gram_counts(rows_of(
+        usable.filter(~held_out()).filter("lang IS NOT NULL"), trusted.filter(~held_out()))
+        .select(F.col("lang").alias("model"), "text")))
     pooled = fit.groupBy(F.lit(POOLED).alias("model"), "gram").agg(F.sum("c").alias("c"))
     own = fit.filter(F.col("model").isin(languages))
     tables = kneser_ney(cut_lineage(own.unionByName(pooled)))
@@ -234,7 +251,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     named = rows.select(
         key, "doc_id", "lang", "text",
         F.when(F.col("lang").isin(languages), F.col("lang")).otherwise(POOLED).alias("model"))
-    every = known.filter(held_out()).select(key, F.lit(POOLED).alias("model"), "text")
+    every = cut_lineage(rows_of(usable.filter(held_out()), trusted.filter(held_out()))
+                        .select(key, F.lit(POOLED).alias("model"), "text"))
     wanted = gram_counts(named.select("model", "text").unionByName(every.select("model", "text")))
     scores = cut_lineage(log_probabilities(wanted.select("model", "gram"), tables))
     found = perplexities(named.select("key", "model", "text"), scores)
