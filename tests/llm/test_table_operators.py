@@ -2,10 +2,12 @@
 
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import frame, odd_rows, plain_rows, sentence, words
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewatch.llm import (
     bagminhash,
+    common,
     decontaminate,
     mixing,
     quality,
@@ -422,3 +425,42 @@ def test_stages_keep_columns_of_any_name(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
+
+
+def shuffle_files(spark):
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    names = {files.apply(i).getName() for i in range(files.size())}
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files_and_takes_texts_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    settings, before = spark.conf.get(name), shuffle_files(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    texts = spark.range(0, 3000, 1, 2).repartition(2, "id").select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    table = common.cut_lineage(texts.mapInArrow(sizes, "n long"))
+    n = [r.n for r in table.collect()]
+    assert sum(n) == 3000 and max(n) * 10_000 < 5_000_000
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(name) == settings
+
+
+def test_gram_counts_of_tasks_that_send_on_what_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HELD_ROWS", 40)
+    texts = [("ab"[i % 2], f"text {i % 9} " + "xyz "[: i % 5] * (i % 7)) for i in range(60)]
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 30)
+    got = {(r.model, r.gram): r.c for r in quality.gram_counts(
+        spark.createDataFrame(texts, "model string, text string").repartition(2)).collect()}
+    want = Counter()
+    for model, text in texts:
+        want.update((model, g) for g in quality.gram_codes([text])[0].tolist())
+    assert got == want

@@ -24,7 +24,9 @@ ORDER = 4
 SHARD_ROWS = 1_000_000
 # Quantile of held-out trusted perplexity up to which documents stay.
 QUANTILE = 0.99
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+# Rows of n-gram counts that a task holds before it adds them up; if half are left it sends them on.
+HELD_ROWS = 1 << 18
 POOLED = "*"
 
 
@@ -70,20 +72,31 @@ def _by_model(batch):
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(model, gram, c) over all texts of (model, text), summed in each task first."""
 
+    def added(parts):
+        places, grams = pd.factorize(np.concatenate([g for g, _ in parts]))
+        return grams, np.bincount(places, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+    def batch_of(model, grams, counts):
+        return pa.RecordBatch.from_pydict({
+            "model": pa.repeat(pa.scalar(model, pa.string()), len(grams)),
+            "gram": pa.array(grams), "c": pa.array(counts)})
+
     def count(batches):
+        held, n = {}, 0
         for batch in batches:
-            found: dict = {}
             for model, texts, _ in _by_model(batch):
-                codes, _ = gram_codes(texts)
-                places, grams = pd.factorize(codes)
-                counts = pd.Series(np.bincount(places, minlength=len(grams)), index=grams)
-                have = found.get(model)
-                found[model] = counts if have is None else have.add(counts, fill_value=0)
-            for model, counts in found.items():
-                yield pa.RecordBatch.from_pydict({
-                    "model": pa.array([model] * len(counts), pa.string()),
-                    "gram": pa.array(counts.index.to_numpy(np.int64)),
-                    "c": pa.array(counts.to_numpy(np.int64))})
+                places, grams = pd.factorize(gram_codes(texts)[0])
+                held.setdefault(model, []).append((grams, np.bincount(places)))
+                n += len(grams)
+                if n > HELD_ROWS:
+                    held = {model: [added(parts)] for model, parts in held.items()}
+                    n = sum(len(parts[0][0]) for parts in held.values())
+                    if n > HELD_ROWS // 2:
+                        for model, parts in held.items():
+                            yield batch_of(model, *parts[0])
+                        held, n = {}, 0
+        for model, parts in held.items():
+            yield batch_of(model, *added(parts))
 
     return (rows.select("model", "text").mapInArrow(count, "model string, gram long, c long")
             .groupBy("model", "gram").agg(F.sum("c").alias("c")))
@@ -262,8 +275,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     # One row per language with a model of its own, and one for all.
     bounds = F.broadcast(dev.groupBy("model").agg(limit.alias("own")))
-    overall = F.broadcast(perplexities(every, scores.filter(F.col("model") == POOLED))
-                          .agg(limit.alias("pooled")))
+    overall = F.broadcast(cut_lineage(
+        perplexities(every, scores.filter(F.col("model") == POOLED)).agg(limit.alias("pooled"))))
     ceiling = (F.when(F.col("model") == POOLED, F.greatest("own", "pooled"))
                .otherwise(F.coalesce("own", "pooled")))
     return (scored.join(bounds, "model", "left").join(overall, F.lit(True), "left")
