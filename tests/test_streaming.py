@@ -151,3 +151,17 @@ def test_an_update_leaves_other_months_alone(spark, tmp_path):
 def test_unknown_width_of_periods(spark):
     with pytest.raises(ValueError):
         counts.stream_counts(spark.range(1).selectExpr("id"), "M")
+
+
+def test_the_state_is_on_disk_and_settings_are_as_before(spark, tmp_path):
+    before = {n: spark.conf.get(n, None) for n in ingest.STATE_ON_DISK}
+    folder, store = tmp_path / "in", ReviewStore(spark, str(tmp_path / "s"))
+    folder.mkdir()
+    deliver(folder, "1.json", [native("a", "first a"), native("a", "first a"), native("b", "b")], 500)
+    source = Source("google_play", "com.x", "X", str(folder), multi_line=False)
+    query = ingest.ingest_stream(ingest.stream_native(spark, source), store, "gp", str(tmp_path / "state"))
+    query.awaitTermination()
+    operator = next(p for p in query.recentProgress if p["numInputRows"])["stateOperators"][0]
+    assert any(n.startswith("rocksdb") for n in operator["customMetrics"])
+    assert store.row_count("raw_reviews") == 2
+    assert {n: spark.conf.get(n, None) for n in ingest.STATE_ON_DISK} == before
