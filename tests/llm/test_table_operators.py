@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures import frame, odd_rows, plain_rows, sentence, words
+from fixtures import frame, odd_rows, plain_rows, sentence, shuffle_files, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -427,13 +427,6 @@ def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
-def shuffle_files(spark):
-    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
-    files = manager.getAllFiles()
-    names = {files.apply(i).getName() for i in range(files.size())}
-    return {n for n in names if n.startswith("shuffle_")}
-
-
 def test_a_written_table_leaves_no_shuffle_files_and_takes_texts_in_small_batches(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     settings, before = spark.conf.get(name), shuffle_files(spark)

@@ -3,12 +3,13 @@
 import hashlib
 import os
 import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
-from fixtures import (classes, frame, jaccard, odd_rows, plain_rows, sentence, shingles,
+from fixtures import (classes, frame, jaccard, odd_rows, plain_rows, sentence, shingles, shuffle_files,
                       similar_pairs, words)
 from pyspark.sql import functions as F
 
@@ -299,6 +300,18 @@ def test_repeats_of_odd_rows(spark):
     assert suffixdedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_windows_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    passage = sentence(77, 250)
+    rows = [(k, sentence(200 + k, 20) + passage, "en", "s", 0) for k in range(4)]
+    assert suffixdedup.repeated_windows(frame(spark, rows)).any()
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+
+
 # --- decontamination -----------------------------------------------------------------
 
 def contamination_by_force(text, all_items, n=10):
