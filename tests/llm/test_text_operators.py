@@ -237,6 +237,50 @@ def test_bands_miss_few_lines_at_the_threshold():
     assert (1 - fuzzylines.THRESHOLD ** fuzzylines.ROWS) ** fuzzylines.BANDS < 1e-4
 
 
+def test_only_bands_of_several_lines_are_members(spark):
+    """Not 24 rows for every line: a line without a similar one has none, a repeated one no other."""
+    line = sentence(31, 30)
+    docs = frame(spark, [(1, f"{line}\n{sentence(32, 30)}", "en", "s", 0), (2, line, "en", "s", 0),
+                         (3, f"{line} x\n{sentence(33, 30)}", "en", "s", 0)]).repartition(3)
+    keys = {}
+    for r in fuzzylines.members(docs).collect():
+        keys.setdefault(r.bucket, []).append(r.key)
+    both = sorted(map(fuzzylines.line_key, (line, f"{line} x")))
+    assert len(keys) > 10 and all(sorted(found) == both for found in keys.values())
+
+
+def test_small_buckets_are_compared_without_prefixes(spark, monkeypatch):
+    """Shingles that many texts share made 71 pairs for each text of a small bucket."""
+    rows = [sentence(60 + k, 30) for k in range(8)]
+    texts = [*rows, rows[0] + " x", rows[5] + " x"]
+
+    def none(*_):
+        raise AssertionError("prefixes of a small bucket")
+
+    monkeypatch.setattr(candidates, "prefix_pairs", none)
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = candidates.classes(
+        table.select(F.lit(2).cast("long").alias("bucket"), "key"), table, fuzzylines.shingles, 0.8,
+        fuzzylines.sets_of)
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (5, 5), (8, 0), (9, 5)]
+
+
+def test_bit_tables_leave_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for kind in (fuzzylines, bagminhash):
+        texts = []
+        for k in range(12):
+            base = words(k, 60 + 20 * k, 40)
+            texts += [" ".join(w if rng.random() > e else "v" for w in base) for e in (0, 0.02, 0.1)]
+        sets = kind.sets_of(texts)
+        assert all((a == b).all() for t, s in zip(texts, sets) for a, b in zip(s, kind.shingles(t)))
+        i, j = np.triu_indices(len(texts), 1)
+        got = candidates.similar(i, j, sets, 0.6)
+        full = [dict(zip(*map(np.ndarray.tolist, s))) for s in sets]
+        expected = [jaccard(Counter(full[a]), Counter(full[b])) >= 0.6 for a, b in zip(i, j)]
+        assert got.tolist() == expected and 0 < sum(expected) < len(expected)
+
+
 def test_template_lines_match_brute_force(spark):
     """Very many lines of one template that differ, with a few similar ones among them."""
     names = [" ".join(words(k, 3, 10**6)) for k in range(150)]
