@@ -333,6 +333,28 @@ def test_repeats_at_every_shift_and_length(spark):
     check_repeats(docs, rows)
 
 
+def test_first_occurrences_of_repeated_rows_are_partners(spark):
+    """A passage of a row that is there twice, cut elsewhere than the row's own stretches."""
+    text = sentence(78, 400)
+    rows = [(1, text), (1, text), *((k, sentence(400 + k, 20) + text[37 * k:37 * k + 520] + "!")
+                                    for k in range(2, 9))]
+    check_repeats(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]), rows)
+
+
+def test_runs_without_an_open_row_are_not_needed(spark):
+    """Suffixes of first occurrences were sorted although nothing asked for them."""
+    rows = [(1, 5, 0, 9, 1), (1, 6, 0, 9, 1), (2, 5, 1, 9, 1), (2, 6, 1, 9, 0), (2, 7, 1, 9, 1),
+            (3, 5, 2, 9, 0), *((4, k, 3, 9, 1) for k in range(50)), (4, 99, 3, 9, 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    table = spark.createDataFrame(rows, "h long, key long, start int, size int, known int")
+    for size in ("1", "2", "7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = suffixdedup.runs(table, 2, "needed", "key long, start int, known int").collect()
+        assert sorted(map(tuple, got)) == sorted(
+            [(5, 1, 1), (6, 1, 0), (7, 1, 1), *((k, 3, 1) for k in range(50)), (99, 3, 0)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 @needs_data
 def test_repeats_of_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
