@@ -313,6 +313,19 @@ def test_cover_is_perfect():
     assert {(a - b) % suffixdedup.COVER for a in d for b in d} == set(range(suffixdedup.COVER))
 
 
+def test_samples_and_cuts_of_texts_of_every_size():
+    """Both by their definition, place by place; cuts are made once for a batch."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 101, n, np.uint8).tobytes() for n in (0, 3, 7, 8, 217, 218, 219, 400, 401, 584, 2000)]
+    for some in (suffixdedup.Bytes(texts), suffixdedup.Bytes([]), suffixdedup.Bytes(texts[:3])):
+        assert some.samples().tolist() == [
+            p for p in range(len(some.raw)) if some.offset[p] % suffixdedup.COVER in suffixdedup.DIFFERENCES
+            and some.left[p] >= suffixdedup.WINDOW]
+        at = np.flatnonzero(some.left >= suffixdedup.CUT_BYTES)
+        expected = at[some.hashes(at, suffixdedup.CUT_BYTES) & suffixdedup.CUT_MASK == 0]
+        assert some.cuts().tolist() == expected.tolist() and some.cuts() is some.cuts()
+
+
 def check_repeats(df, rows):
     expected = repeats_by_force([(t or "").encode() for _, t in rows], suffixdedup.LENGTH)
     got = [tuple(r) for r in suffixdedup.remove_repeats(df).collect()]
