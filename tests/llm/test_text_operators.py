@@ -281,6 +281,42 @@ def test_bit_tables_leave_out_no_similar_pair():
         assert got.tolist() == expected and 0 < sum(expected) < len(expected)
 
 
+def test_pairs_of_a_bucket_are_those_that_bit_tables_leave_open(spark, monkeypatch):
+    """Texts were fetched for each of these pairs; now only for those that may be similar."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(w if rng.random() > 0.02 else "v" for w in words(k % 6, 60, 80)) for k in range(90)]
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    sets = fuzzylines.sets_of(texts)
+    i, j = np.triu_indices(len(texts), 1)
+    open_pairs = candidates.alike(i, j, *candidates.sketches(sets), 0.8)
+    assert candidates.similar(i, j, sets, 0.8).sum() > 50 and (~open_pairs).sum() > 2000
+    apart = (i % 3 == j % 3) & (i % 7 != j % 7) & open_pairs
+    expected = set(zip(i[apart].tolist(), j[apart].tolist()))
+    monkeypatch.setattr(candidates, "FEW_ROWS", 8)
+    rows = table.selectExpr("key % 3 - 1 AS bucket", "key", "key % 7 AS label")
+    kept = candidates.sketch_table(table, fuzzylines.sets_of)
+    got = [tuple(r) for r in candidates.near_pairs(rows, kept, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    pairs = spark.createDataFrame(list(zip(i.tolist(), j.tolist())), "a long, b long")
+    for n in (10, 10 ** 9):
+        found = {tuple(r) for r in candidates.likely(pairs, kept, 0.8, n).collect()}
+        assert found == set(zip(i[open_pairs].tolist(), j[open_pairs].tolist()))
+
+
+def test_lines_of_other_sizes_share_no_bucket(spark):
+    lines = [sentence(40 + k, 25) for k in range(6)]
+    short = [" ".join(x.split()[:15]) for x in lines]
+    got = fuzzylines.members(frame(spark, [(0, "\n".join([*lines, *short, *(x + " z" for x in lines)]),
+                                            "en", "s", 0)])).collect()
+    size = {fuzzylines.line_key(x): len(fuzzylines.shingles(x)[0]) for x in (*lines, *short, *(x + " z" for x in lines))}
+    buckets = {}
+    for r in got:
+        assert r.code == int(np.log(size[r.key]) * fuzzylines.SIZE_STEPS)
+        buckets.setdefault(r.bucket, []).append(size[r.key])
+    assert buckets and all(min(x) > 0.79 * max(x) for x in buckets.values())
+    assert {k for r in got for k in [r.key]} >= {fuzzylines.line_key(x) for x in lines}
+
+
 def test_template_lines_match_brute_force(spark):
     """Very many lines of one template that differ, with a few similar ones among them."""
     names = [" ".join(words(k, 3, 10**6)) for k in range(150)]
